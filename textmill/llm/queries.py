@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, near_duplicates
+from . import cross_split, leakage, near_duplicates
 
 WORDS, LIKENESS, MIN_WORDS = 3, 0.60, 30
 
@@ -44,5 +44,13 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split.by_split_and_source(_overlaps(spark, folder), _records(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_report)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("item_id", "doc_id")
+
+
+def p6_removal_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.removal_spans(leakage.leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_report, p6_found, p6_removal_spans)}
 ORACLES: dict[str, str] = {}
