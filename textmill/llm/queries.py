@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, leakage, near_duplicates
+from ..runtime import small
+
+from . import cross_split, leakage, near_duplicates, packing, splitting
 
 WORDS, LIKENESS, MIN_WORDS = 3, 0.60, 30
 
@@ -22,6 +24,52 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(_table(spark, folder, "documents"))
 
 
+def _limit(spark: SparkSession, folder: str, field: str, purpose: str) -> dict:
+    rows = small(_table(spark, folder, "size_limits").where((F.col("field_name") == field) & (F.col("purpose") == purpose)), 1, "size_limits")
+    return {"max_size": rows[0]["max_size"], "overlap": rows[0]["overlap_size"], "unit": rows[0]["unit"]}
+
+
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select(F.lit("documents.text").alias("field_name"), F.col("doc_id").alias("row_id"), F.lit(-1).cast("long").alias("turn"), "text")
+    talk = _table(spark, folder, "smoltalk").select("conv_id", F.posexplode("messages").alias("turn", "m"))
+    talk = talk.select(F.lit("messages.content").alias("field_name"), F.col("conv_id").alias("row_id"), F.col("turn").cast("long").alias("turn"), F.col("m.content").alias("text"))
+    found = []
+    for values, field in ((docs, "documents.text"), (talk, "messages.content")):
+        limit = _limit(spark, folder, field, "split")
+        found.append(splitting.split(values, "text", **limit).withColumn("forced", (F.col("unbroken") > limit["max_size"]).cast("long")))
+    return found[0].unionByName(found[1]).dropDuplicates(["field_name", "row_id", "turn"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _split(spark, folder).select("field_name", "row_id", "turn", "forced")
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _split(spark, folder).select("field_name", "row_id", "turn", F.explode("pieces").alias("p")).select("field_name", "row_id", "turn", "p.no", "p.first", "p.past", "p.kind")
+
+
+def _pack(spark: SparkSession, folder: str, field: str) -> tuple[DataFrame, int]:
+    limit = _limit(spark, folder, field, "pack")
+    if field == "documents.text":
+        items, key = _table(spark, folder, "documents"), "doc_id"
+    else:
+        items, key = _table(spark, folder, "smoltalk").select("conv_id", F.array_join(F.transform("messages", lambda m: m["content"]), "").alias("text")), "conv_id"
+    return packing.pack(items, key, "text", limit["max_size"], limit["unit"]), limit["max_size"]
+
+
+def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return _pack(spark, folder, "messages.content")[0]
+
+
+def p3_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _pack(spark, folder, "documents.text")[0]
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    out = [packing.fill_report(*_pack(spark, folder, field)).withColumn("field_name", F.lit(field)) for field in ("documents.text", "messages.content")]
+    return out[0].unionByName(out[1])
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     talk = _table(spark, folder, "smoltalk").select(F.lit("smoltalk").alias("tab"), F.col("conv_id").alias("id"), "split", "source", cross_split.conversation_text(F.col("messages")).alias("text"))
     problems = _table(spark, folder, "gsm8k").select(F.lit("gsm8k").alias("tab"), F.col("item_id").alias("id"), "split", "source", F.col("question").alias("text"))
@@ -52,5 +100,5 @@ def p6_removal_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.removal_spans(leakage.leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_report, p6_found, p6_removal_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_conversations, p3_documents, p3_report, p5_found, p5_report, p6_found, p6_removal_spans)}
 ORACLES: dict[str, str] = {}
