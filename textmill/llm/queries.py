@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import small
 
-from . import cross_split, leakage, near_duplicates, packing, splitting
+from . import cross_split, leakage, mixing, near_duplicates, packing, splitting
 
 WORDS, LIKENESS, MIN_WORDS = 3, 0.60, 30
 
@@ -100,5 +100,19 @@ def p6_removal_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.removal_spans(leakage.leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_conversations, p3_documents, p3_report, p5_found, p5_report, p6_found, p6_removal_spans)}
+def _mix(spark: SparkSession, folder: str) -> DataFrame:
+    tidy = F.regexp_replace(F.lower(F.trim("source")), "-", "_")
+    docs = _table(spark, folder, "documents").select("doc_id", "text", F.array(tidy).alias("sources"))
+    return mixing.mix(docs, _table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(_mix(spark, folder), _table(spark, folder, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_conversations, p3_documents, p3_report, p5_found, p5_report, p6_found, p6_removal_spans, p7_mix, p7_shares)}
 ORACLES: dict[str, str] = {}
