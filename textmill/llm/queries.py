@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import small
 
-from . import cross_split, leakage, mixing, near_duplicates, packing, splitting
+from . import cross_split, garbled, leakage, mixing, near_duplicates, packing, splitting
 
 WORDS, LIKENESS, MIN_WORDS = 3, 0.60, 30
 
@@ -114,5 +114,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(_mix(spark, folder), _table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_conversations, p3_documents, p3_report, p5_found, p5_report, p6_found, p6_removal_spans, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.detect(_table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.detect(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_conversations, p3_documents, p3_report, p5_found, p5_report, p6_found, p6_removal_spans, p7_mix, p7_shares, p8_found, p8_restored)}
 ORACLES: dict[str, str] = {}
