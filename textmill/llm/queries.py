@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import small
 
-from . import cross_split, garbled, leakage, mixing, near_duplicates, packing, splitting
+from . import cross_split, defects, garbled, leakage, mixing, near_duplicates, packing, splitting
 
 WORDS, LIKENESS, MIN_WORDS = 3, 0.60, 30
 
@@ -70,6 +70,14 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_labels(spark, folder).select("conv_id", "turn", F.col("labels")[0].alias("defect"))
+
+
+def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.detect(_table(spark, folder, "smoltalk"))
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     talk = _table(spark, folder, "smoltalk").select(F.lit("smoltalk").alias("tab"), F.col("conv_id").alias("id"), "split", "source", cross_split.conversation_text(F.col("messages")).alias("text"))
     problems = _table(spark, folder, "gsm8k").select(F.lit("gsm8k").alias("tab"), F.col("item_id").alias("id"), "split", "source", F.col("question").alias("text"))
@@ -122,5 +130,5 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.detect(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_conversations, p3_documents, p3_report, p5_found, p5_report, p6_found, p6_removal_spans, p7_mix, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_conversations, p3_documents, p3_report, p4_found, p4_labels, p5_found, p5_report, p6_found, p6_removal_spans, p7_mix, p7_shares, p8_found, p8_restored)}
 ORACLES: dict[str, str] = {}
