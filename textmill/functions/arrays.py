@@ -21,13 +21,22 @@ def merged(ids: Column, a: int, b: int, new: int) -> Column:
     return F.aggregate(ids, F.array().cast("array<int>"), step)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once although f's lambdas name it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def common_prefix(sequences: Column) -> Column:
     """Length of the longest common beginning of several arrays; 0 for none."""
-    first = F.get(sequences, F.lit(0))
-    shortest = F.array_min(F.transform(sequences, lambda s: F.size(s)))
-    places = F.when(shortest > 0, F.sequence(F.lit(0), shortest - 1)).otherwise(F.array().cast("array<int>"))
-    differs = F.filter(places, lambda i: F.exists(sequences, lambda s: F.get(s, i) != F.get(first, i)))
-    return F.coalesce(F.get(differs, F.lit(0)), shortest, F.lit(0))
+
+    def of(seqs):
+        shortest = F.array_min(F.transform(seqs, lambda s: F.size(s)))
+        first = F.get(seqs, F.lit(0))
+        places = F.when(shortest > 0, F.sequence(F.lit(0), shortest - 1)).otherwise(F.array().cast("array<int>"))
+        differs = F.filter(places, lambda i: F.exists(seqs, lambda s: F.get(s, i) != F.get(first, i)))
+        return F.coalesce(F.get(differs, F.lit(0)), shortest, F.lit(0))
+
+    return bound(sequences, of)
 
 
 def common_suffix(sequences: Column) -> Column:

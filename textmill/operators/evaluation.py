@@ -48,7 +48,7 @@ def _examples(shots: Column) -> Column:
 
 
 def choice_shot(delimiter: str) -> Column:
-    return F.concat(F.col("query"), F.lit(delimiter), F.get("choices", F.col("gold")))
+    return F.concat(F.col("query"), F.lit(delimiter), F.coalesce(F.get("choices", F.col("gold")), F.lit("")))
 
 
 def choice_prompts(items: DataFrame, delimiter: str = " ") -> DataFrame:

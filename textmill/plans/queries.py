@@ -1 +1,400 @@
+"""Named queries over the test tables, one or more for each operator of the core."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays, text
+from ..operators import bpe, chat, evaluation, ordered, packing, schedules, tasks
+from ..operators.tokenizer import Tokenizer
+from ..sources import corpus, runs
+from ..streaming import corpus as streams
+
+#: The vocabulary of the queries that encode; the driver reads the file.
+RANKS = os.environ.get("TEXTMILL_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+ROW, BATCH, WORLD = 2048, 8, 4
 QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _documents(spark, folder) -> DataFrame:
+    return _t(spark, folder, "documents").select("doc_id", "text")
+
+
+def _talk(spark, folder) -> DataFrame:
+    """Each conversation once."""
+    return _t(spark, folder, "smoltalk").select("conv_id", "messages").dropDuplicates(["conv_id"])
+
+
+def _check(ids: Column) -> Column:
+    """A number that depends on every element and its place."""
+    return F.aggregate(F.transform(ids, lambda x, i: x.cast("long") * (F.pmod(i, F.lit(1009)) + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _total(ids: Column) -> Column:
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@query
+def word_histogram(spark, folder):
+    return bpe.word_histogram(_documents(spark, folder))
+
+
+@query
+def char_budget_prefix(spark, folder):
+    return ordered.char_budget(_documents(spark, folder), "doc_id", "text", 500_000).select("doc_id", "chars_before")
+
+
+@query
+def byte_pair_counts(spark, folder):
+    return bpe.pair_counts(bpe.word_histogram(_documents(spark, folder)))
+
+
+@query
+def top_pair(spark, folder):
+    return bpe.top_pair(bpe.pair_counts(bpe.word_histogram(_documents(spark, folder))))
+
+
+@query
+def bpe_vocabulary(spark, folder):
+    """300 merges; the bytes of each token in hex, special tokens behind them."""
+    vocab = bpe.learn(_documents(spark, folder), 556)
+    specials = bpe.special_ids(vocab)
+    names = vocab.select("token_id", F.hex("bytes").alias("token")).unionByName(specials.select("token_id", "token"))
+    return names.join(bpe.token_bytes(vocab, specials), "token_id")
+
+
+@query
+def encode_decode(spark, folder):
+    """Tokens of each document, with the mark of its begin, and whether decoding gives the text back."""
+    tok = Tokenizer.from_ranks(RANKS)
+    ids = tok.encode(_documents(spark, folder).where("text is not null"), "text", prepend=tok.names[0])
+    back = tok.decode(ids, "ids", "back")
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), (F.col("back") == F.concat(F.lit(tok.names[0]), F.col("text"))).alias("same"))
+
+
+def _folded(spark, folder) -> DataFrame:
+    rows = _talk(spark, folder).withColumn("m", chat.folded(chat.tidy_roles(F.col("messages"))))
+    return rows.where(chat.alternates(F.col("m")))
+
+
+@query
+def conversation_fold_system(spark, folder):
+    m = F.col("m")
+    return _folded(spark, folder).select("conv_id", F.size(m).alias("n_messages"), F.get(m, F.lit(0))["content"].alias("first_user"), F.get(m, F.size(m) - 1)["role"].alias("last_role"))
+
+
+def _rendered(spark, folder) -> DataFrame:
+    return chat.render(_talk(spark, folder)).where("ids is not null")
+
+
+@query
+def conversation_render_bytes(spark, folder):
+    ids, mask = F.col("ids"), F.col("mask")
+    return _rendered(spark, folder).select("conv_id", F.size(ids).alias("n_ids"), _total(mask).alias("n_masked"), _check(ids).alias("ids_check"), _check(mask).alias("mask_check"))
+
+
+def _sequences(spark, folder) -> DataFrame:
+    return ordered.numbered(_rendered(spark, folder).select("conv_id", "ids", "mask"), ["conv_id"])
+
+
+@query
+def sft_targets(spark, folder):
+    rows = packing.sft_rows(_sequences(spark, folder), BATCH, ROW, pad=256, world=WORLD)
+    return rows.select("rank", F.col("batch").cast("long").alias("batch"), "idx", F.size("inputs").alias("width"), _check(F.col("inputs")).alias("inputs_check"), _check(F.col("targets")).alias("targets_check"))
+
+
+@query
+def pack_nextfit(spark, folder):
+    rows = packing.rows(_sequences(spark, folder), ROW, "next", pad=256, world=WORLD)
+    return rows.select("rank", "row", _check(F.col("inputs")).alias("inputs_check"), F.size(F.filter("targets", lambda t: t == -1)).alias("n_ignored"))
+
+
+@query
+def pack_bestfit(spark, folder):
+    """Documents as bytes behind a begin mark, in full rows."""
+    ids = ordered.numbered(_documents(spark, folder).where("length(text) > 0"), ["doc_id"]).withColumn("ids", F.concat(F.array(F.lit(256)), text.utf8_bytes(F.col("text"))))
+    rows = packing.rows(ids, ROW, "best", pad=256, world=WORLD)
+    return rows.select("rank", "row", F.size("inputs").alias("width"), _check(F.col("inputs")).alias("inputs_check"), F.array_min("targets").alias("least_target"))
+
+
+@query
+def task_mixture_schedule(spark, folder):
+    sizes = [_t(spark, folder, n).count() for n in ("gsm8k", "arc", "mmlu")]
+    return ordered.schedule(sizes, WORLD, 2 * sum(sizes) // WORLD, spark).withColumn("progress", F.round("progress", 6))
+
+
+@query
+def task_mixture(spark, folder):
+    """Word problems twice and choice questions once, one after the other."""
+    gsm = ordered.numbered(tasks.word_problems(_t(spark, folder, "gsm8k").dropDuplicates(["item_id"])), ["item_id"])
+    arc = ordered.numbered(tasks.labelled_choices(_t(spark, folder, "arc").dropDuplicates(["item_id"])), ["item_id"])
+    mixed = tasks.mixture([gsm, arc, gsm], [-1, 50, -1])
+    return mixed.select("task_idx", "idx", F.col("messages")[0]["content"].alias("question"), F.col("messages")[1]["content"].alias("answer"))
+
+
+@query
+def split_train_val(spark, folder):
+    """The corpus in 16 shards by id; the last is for validation."""
+    shard = F.pmod("doc_id", F.lit(16))
+    return _documents(spark, folder).select("doc_id", shard.cast("int").alias("shard"), F.when(shard == 15, "val").otherwise("train").alias("split"))
+
+
+@query
+def shard_assignment(spark, folder):
+    return ordered.shards(ordered.numbered(_documents(spark, folder).select("doc_id"), ["doc_id"]), "idx", WORLD)
+
+
+@query
+def file_split(spark, folder):
+    """The documents table as shards: rows by file and split."""
+    both = [corpus.read(spark, f"{folder}/documents.parquet", s).withColumn("split", F.lit(s)) for s in ("train", "val")]
+    return both[0].unionByName(both[1]).groupBy("split", "pf_idx").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def _qa(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.col("messages")[0]["content"].alias("question"), F.col("messages")[1]["content"].alias("answer"))
+
+
+@query
+def gsm8k_messages(spark, folder):
+    return _qa(tasks.word_problems(_t(spark, folder, "gsm8k")), "item_id")
+
+
+@query
+def mmlu_messages(spark, folder):
+    return _qa(tasks.four_choices(_t(spark, folder, "mmlu")), "item_id")
+
+
+@query
+def arc_messages(spark, folder):
+    return _qa(tasks.labelled_choices(_t(spark, folder, "arc")), "item_id")
+
+
+def _words(spark, folder) -> DataFrame:
+    return _t(spark, folder, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word <> ''").distinct()
+
+
+@query
+def spelling_messages(spark, folder):
+    return _qa(tasks.spelling(_words(spark, folder)), "word")
+
+
+@query
+def letter_questions(spark, folder):
+    """Letters and templates as Python's generator draws them."""
+    return _qa(tasks.letter_questions(ordered.numbered(_words(spark, folder), ["word"])), "word")
+
+
+@query
+def letter_count(spark, folder):
+    return _t(spark, folder, "part").select("p_partkey", *(text.occurrences(F.lower("p_name"), F.lit(c)).alias(f"n_{c}") for c in "aeinrs"))
+
+
+@query
+def extract_answer(spark, folder):
+    return _t(spark, folder, "gsm8k").select("item_id", text.extract_answer(F.col("answer")).alias("number"), F.coalesce(text.extract_answer(F.col("answer")), F.lit("[invalid]")).alias("shown"))
+
+
+@query
+def seeded_split(spark, folder):
+    """Words in the order that Python's own shuffle gives them, 90 % for training."""
+    words = tasks.shuffled(_words(spark, folder), ["word"], exact=True)
+    n = words.count()
+    return tasks.split_ratio(words, n, "train").withColumn("split", F.lit("train")).unionByName(tasks.split_ratio(words, n, "test").withColumn("split", F.lit("test")))
+
+
+def _items(spark, folder) -> tuple[DataFrame, int]:
+    items = ordered.numbered(_t(spark, folder, "eval_items").where("query is not null and gold is not null and size(choices) > 0"), ["item_id"])
+    return items, items.count()
+
+
+def _prompts(spark, folder, exact: bool) -> DataFrame:
+    items, n = _items(spark, folder)
+    items = evaluation.fewshot_indices(items, n, 3, exact=exact)
+    return evaluation.choice_prompts(evaluation.with_shots(items, evaluation.choice_shot(" ")))
+
+
+@query
+def fewshot_prompts(spark, folder):
+    return _prompts(spark, folder, exact=False).select("item_id", F.posexplode("prompts").alias("choice", "prompt"))
+
+
+@query
+def fewshot_exact(spark, folder):
+    """Shots as Python's generator draws them."""
+    return _prompts(spark, folder, exact=True).select("item_id", F.array_join("shots_idx", ",").alias("shots_idx"), F.md5(F.array_join("prompts", "|")).alias("prompts_md5"))
+
+
+def _bytes_of_prompts(spark, folder) -> DataFrame:
+    items = _t(spark, folder, "eval_items").where("query is not null and size(choices) > 0")
+    prompts = evaluation.choice_prompts(items.withColumn("shots", F.array().cast("array<string>")))
+    return prompts.withColumn("tokens", F.transform("prompts", lambda p: F.concat(F.array(F.lit(256)), text.utf8_bytes(p))))
+
+
+@query
+def common_prefix_suffix(spark, folder):
+    return _bytes_of_prompts(spark, folder).select("item_id", arrays.common_prefix(F.col("tokens")).alias("prefix"), arrays.common_suffix(F.col("tokens")).alias("suffix"))
+
+
+@query
+def crop_stack(spark, folder):
+    """Prompts cut to their last 160 bytes and padded to the longest, with the span of the choice."""
+    items = evaluation.cropped(evaluation.spans(_bytes_of_prompts(spark, folder), "choice"), 160).withColumn("stack", evaluation.stacked(F.col("tokens"), 256))
+    each = items.select("item_id", F.posexplode(F.arrays_zip("stack", "starts", "ends")).alias("choice", "z"))
+    return each.select("item_id", "choice", F.size("z.stack").alias("width"), "z.starts", "z.ends", _check(F.col("z.stack")).alias("ids_check"))
+
+
+@query
+def language_spans(spark, folder):
+    """Word problems as contexts and answers as continuations: where the scored part begins and ends."""
+    rows = _t(spark, folder, "gsm8k").select("item_id", F.col("question").alias("context"), F.col("answer").alias("continuation")).where("context is not null and length(continuation) > 0").dropDuplicates(["item_id"])
+    rows = evaluation.language_prompts(rows.withColumn("shots", F.array().cast("array<string>")))
+    rows = evaluation.spans(rows.withColumn("tokens", F.transform("prompts", text.utf8_bytes)), "language")
+    return rows.select("item_id", F.col("starts")[0].alias("start"), F.col("ends")[0].alias("end"))
+
+
+@query
+def bits_per_byte(spark, folder):
+    """Losses made from the word problems; every tenth token has no bytes."""
+    losses = _t(spark, folder, "gsm8k").where("question is not null").select((F.length("question") % 260 - 2).alias("target"), ((F.coalesce(F.length("answer"), F.lit(0)) % 17) / 10).alias("loss"))
+    lengths = spark.range(260).select(F.col("id").cast("int").alias("token_id"), F.when(F.col("id") % 10 == 0, 0).otherwise(1 + F.col("id") % 4).cast("int").alias("n_bytes"))
+    return evaluation.bits_per_byte(losses, lengths).select(F.round("bpb", 6).alias("bpb"))
+
+
+def _choice_losses(spark, folder) -> DataFrame:
+    """A made-up loss of each choice."""
+    rows = _t(spark, folder, "eval_items").where("gold is not null").select(F.col("item_id").alias("item"), "task_label", "gold", F.posexplode("choices").alias("choice", "c"))
+    loss = ((F.coalesce(F.length("c"), F.lit(0)) * 7 + F.col("item") * 3 + F.col("choice") * 5) % 101) / 10
+    return rows.select("item", "task_label", "gold", "choice", loss.alias("loss"))
+
+
+@query
+def choice_argmin(spark, folder):
+    return evaluation.choice_correct(_choice_losses(spark, folder))
+
+
+@query
+def core_metric(spark, folder):
+    losses = _choice_losses(spark, folder)
+    right = evaluation.choice_correct(losses).join(losses.select("item", F.coalesce("task_label", F.lit("")).alias("label")).distinct(), "item")
+    accuracy = right.groupBy("label").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    base = accuracy.select("label", F.lit(25.0).alias("percent"))
+    return evaluation.core(accuracy, base).select("label", *(F.round(c, 6).alias(c) for c in ("accuracy", "centered", "core")))
+
+
+@query
+def generative_accuracy(spark, folder):
+    """Choice answers against attempts of which the first can't be parsed."""
+    rows = tasks.labelled_choices(_t(spark, folder, "arc").where("answerkey is not null and question is not null"))
+    gold = text.extract_label(F.col("messages")[1]["content"])
+    guess = F.get("choices.label", (F.col("item_id") % 4).cast("int"))
+    return evaluation.generative_accuracy(rows.select(gold.alias("gold"), F.array(F.lit(None).cast("string"), guess).alias("attempts"))).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query
+def lr_schedule(spark, folder):
+    step = F.col("id")
+    out = spark.range(1000).select(F.col("id").alias("step"), schedules.learning_rate(step, 1000, 0.05, 0.4, 0.1).alias("lr"), schedules.plateau(step / 1000.0).alias("sft_lr"))
+    return out.select("step", F.round("lr", 6).alias("lr"), F.round("sft_lr", 6).alias("sft_lr"))
+
+
+@query
+def momentum_schedule(spark, folder):
+    step = F.col("id")
+    return spark.range(1000).select(F.col("id").alias("step"), F.round(schedules.momentum(step), 6).alias("momentum"), F.round(schedules.weight_decay(step, 1000, 0.2, 6), 6).alias("decay"))
+
+
+def _log(spark, folder) -> DataFrame:
+    return _t(spark, folder, "events").select("user_id", "ts", "event_id", "value")
+
+
+@query
+def ema_loss(spark, folder):
+    """Each user's events as a loss curve."""
+    return schedules.smoothed(_log(spark, folder), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("ema", 6).alias("ema"))
+
+
+@query
+def running_best(spark, folder):
+    return schedules.running_best(_log(spark, folder), ["user_id"], ["ts", "event_id"], "value").select("event_id", "best")
+
+
+@query
+def training_progress(spark, folder):
+    """Throughput and time left, on a log of 500 steps made up here."""
+    log = spark.range(500).select(F.lit("run").alias("run"), F.col("id").alias("step"), (0.5 + (F.col("id") % 8) / 8).alias("seconds"))
+    out = schedules.progress(log, ["run"], 1000, 524_288)
+    return out.select("step", "tokens_per_second", F.round("trained", 6).alias("trained"), "percent", F.round("eta", 3).alias("eta"))
+
+
+@query
+def topk_with_ties(spark, folder):
+    items = _t(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_suppkey")
+    return evaluation.top_k(items, ["l_suppkey"], "l_quantity", 3).select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query
+def sampled_tokens(spark, folder):
+    """One event kind per user, drawn with the weight of its value."""
+    rows = _t(spark, folder, "events").where("value is not null").groupBy("user_id", "event_type").agg(F.log(F.sum("value") + 1).alias("logit"))
+    return evaluation.draw(rows, "user_id", "event_type", "logit")
+
+
+@query
+def greedy_tokens(spark, folder):
+    rows = _t(spark, folder, "events").groupBy("user_id", F.length("event_type").alias("token")).agg(F.count("*").alias("logit"))
+    return evaluation.draw(rows, "user_id", "token", "logit", temperature=0)
+
+
+@query
+def latest_checkpoint(spark, folder):
+    names = spark.range(1, 21).select(F.format_string("model_%06d.pt", F.col("id") * 250).alias("name"))
+    return runs.latest_step(names)
+
+
+@query
+def metrics_pivot(spark, folder):
+    rows = spark.range(60).select(F.element_at(F.array(F.lit("loss"), F.lit("bpb"), F.lit("lr")), (F.col("id") % 3 + 1).cast("int")).alias("tag"), F.floor(F.col("id") / 3).alias("step"), (F.col("id") * 0.5).alias("value"))
+    return runs.by_step(rows, ["loss", "bpb", "lr"])
+
+
+@query
+def streamed_histogram(spark, folder):
+    """The word histogram by a stream over the shards, batch by batch."""
+    from ..runtime import shared_folder
+
+    base = f"{shared_folder(spark).rstrip('/')}/textmill-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    # A table that is one file is a folder's only shard.
+    source = f"{folder}/documents.parquet"
+    if os.path.isfile(source):
+        linked = os.path.join(tempfile.mkdtemp(prefix="textmill-"), "in")
+        os.makedirs(linked)
+        os.symlink(os.path.abspath(source), os.path.join(linked, "documents.parquet"))
+        source = linked
+    q = streams.keep_histogram(streams.arriving(spark, source), f"{base}/out", f"{base}/at")
+    q.awaitTermination()
+    return streams.summed_histogram(spark, f"{base}/out")
+
+
+@query
+def row_group_scan(spark, folder):
+    """The documents by row group, every second one."""
+    source = f"{folder}/documents.parquet"
+    if os.path.isfile(source):
+        source = tempfile.mkdtemp(prefix="textmill-")
+        os.symlink(os.path.abspath(f"{folder}/documents.parquet"), os.path.join(source, "documents.parquet"))
+    return corpus.row_groups(spark, source, rank=0, world=2).groupBy("pf_idx", "rg_idx").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
