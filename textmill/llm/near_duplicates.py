@@ -124,7 +124,10 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     similarity lie in the same step or in neighbouring ones; a hot band hash so becomes several keys, and AQE splits what is still skewed.
     """
     width = -math.log(threshold)
-    rows = classes.select("rep", "n", F.explode("bands").alias("band")).withColumn("step", F.floor(F.log("n") / width))
+    rows = classes.select("rep", "n", F.explode("bands").alias("band"))
+    # Most band hashes occur once; without them, what is joined is small.
+    shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    rows = cut(rows.join(shared, "band", "left_semi")).withColumn("step", F.floor(F.log("n") / width))
     left = rows.select(F.col("rep").alias("a"), F.col("n").alias("na"), "band", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
     right = rows.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "band", "step")
     # Of two sets in one step the pair is taken with the lower id at the left; of two in neighbouring steps, from the smaller set.
