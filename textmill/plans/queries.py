@@ -98,7 +98,8 @@ def conversation_fold_system(spark, folder):
 
 
 def _rendered(spark, folder) -> DataFrame:
-    return chat.render(_talk(spark, folder)).where("ids is not null")
+    # Unsound conversations go before they are rendered: a filter on the result would make it twice.
+    return chat.render(_talk(spark, folder).where(chat.alternates(chat.folded(chat.tidy_roles(F.col("messages"))))))
 
 
 @query

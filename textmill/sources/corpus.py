@@ -68,12 +68,14 @@ class _RowGroupReader(DataSourceReader):
             path = os.path.join(self.folder, names[f])
             first = self.rank + (self.cursor[1] if f == self.cursor[0] else 0)
             out += [InputPartition((path, f, g)) for g in range(first, pq.ParquetFile(path).num_row_groups, self.world)]
-        return out
+        return out or [InputPartition(None)]
 
     def read(self, partition):
         import pyarrow as pa
         import pyarrow.parquet as pq
 
+        if partition.value is None:
+            return
         path, f, g = partition.value
         texts = pq.ParquetFile(path).read_row_group(g, columns=[self.column]).column(0).combine_chunks().cast(pa.string())
         n = len(texts)
