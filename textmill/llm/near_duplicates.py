@@ -105,8 +105,8 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
     Only texts that are in a pair are read into sets; the counting runs in the JVM. `pairs` is read three times: cut it first.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = docs.withColumn("_id", F.col(id_col).cast("long")).join(wanted, F.col("_id") == F.col("id"), "left_semi").drop("_id")
-    sets = shingle_sets(ids.dropDuplicates([id_col]), id_col, text_col, words)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sets = shingle_sets(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "id", "text", words)
     both = (
         pairs.select("a", "b")
         .join(sets.select(F.col("id").alias("a"), F.col("grams").alias("_ga")), "a")
@@ -141,13 +141,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     members: `id`, `rep` – each text with enough words and the representative (lowest id) of the texts with the same n-gram set.
     pairs: `a`, `b`, `likeness` – verified pairs of representatives, a < b.
-    Null, empty and short texts (under max(min_words, words) words) are in neither. Ids must be unique; rows with a null id are left out.
+    Null, empty and short texts (under max(min_words, words) words) are in neither, nor are rows with a null id. Rows that repeat an id count once; they should have one text.
     """
     bands, rows = choose_bands(threshold, recall)
     sigs = cut(signatures(docs, id_col, text_col, words, max(min_words, words), bands, rows))
     classes = sigs.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = sigs.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = sigs.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "rep")
+    members = sigs.select("id", "h1", "h2").join(reps, ["h1", "h2"]).groupBy("id").agg(F.min("rep").alias("rep"))
     pairs = verify(cut(candidates(classes, threshold)), docs, id_col, text_col, words, threshold)
     return members, pairs
 
