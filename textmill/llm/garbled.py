@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import seeded_sample
+
 
 def _keep(error: UnicodeError):
     """Bytes that a code page leaves undefined stand for the control characters of the same number, as lenient decoders have it."""
@@ -213,7 +215,7 @@ def _mends(part: str, read: str) -> bool:
 def fit(docs: DataFrame, text_col: str = "text", sample: int = 2000, seed: int = 42) -> Model:
     """The classifier of a corpus, from `sample` rows with wide characters at most, taken in a seeded order."""
     wide = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]") & (F.length("text") < 20_000))
-    rows = wide.orderBy(F.xxhash64("text", F.lit(seed))).limit(sample).collect()
+    rows = seeded_sample(wide, F.xxhash64("text", F.lit(seed)), sample, docs.count())
     return train([r[0] for r in rows])
 
 
