@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import small
 
-from . import cross_split, defects, garbled, leakage, mixing, near_duplicates, packing, splitting
+from . import cross_split, defects, garbled, leakage, mixing, near_duplicates, oracle, packing, splitting
 
 WORDS, LIKENESS, MIN_WORDS = 3, 0.60, 30
 
@@ -131,4 +131,4 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_conversations, p3_documents, p3_report, p4_found, p4_labels, p5_found, p5_report, p6_found, p6_removal_spans, p7_mix, p7_shares, p8_found, p8_restored)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracle.ORACLES
