@@ -17,7 +17,8 @@ from ..runtime import cut
 def running(df: DataFrame, order: list[str], value: Column, name: str, per_partition: int = 1_000_000) -> DataFrame:
     """df with `name`: the sum of value over all rows before, by `order`, which must be unique. Null values count as 0."""
     value = F.coalesce(value.cast("long"), F.lit(0).cast("long"))
-    parts = max(1, math.ceil(df.count() / per_partition))
+    n = df.count()
+    parts = max(1, math.ceil(n / per_partition), min(df.sparkSession.sparkContext.defaultParallelism, n // 1000))
     # Written once: range bounds come from a sample, so a recomputed partition could hold other rows.
     placed = cut(df.withColumn("_v", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sums = placed.groupBy("_part").agg(F.sum("_v").alias("_sum"))

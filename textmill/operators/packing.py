@@ -22,13 +22,15 @@ def sft_rows(rendered: DataFrame, batch: int, length: int, pad: int, idx: str =
 
     rendered: idx (dense numbers), ids, mask. Null and too long conversations are skipped; a last incomplete batch is kept.
     """
-    kept = rendered.where((F.size("ids") > 0) & (F.size("ids") <= length)).select(F.col(idx).alias("idx"), "ids", "mask", F.pmod(F.col(idx), F.lit(world)).cast("int").alias("rank"))
-    rows = numbered(kept, ["rank", "idx"], "_n")
-    first = rows.groupBy("rank").agg(F.min("_n").alias("_first"))
-    rows = rows.join(F.broadcast(first), "rank").withColumn("batch", F.floor((F.col("_n") - F.col("_first")) / batch))
-    width = F.max(F.size("ids")).over(Window.partitionBy("rank", "batch"))
-    rows = rows.withColumn("_w", width)
-    return rows.select("rank", "batch", "idx", padded(F.col("ids"), F.col("_w"), pad).alias("inputs"), padded(masked_targets(F.col("ids"), F.col("mask")), F.col("_w"), -1).alias("targets"))
+    sound = (F.size("ids") > 0) & (F.size("ids") <= length)
+    # Numbers, batches and widths come from the lengths alone; the tokens move once, to their row.
+    sizes = rendered.where(sound).select(F.col(idx).cast("long").alias("idx"), F.size("ids").alias("_n"), F.pmod(F.col(idx), F.lit(world)).cast("int").alias("rank"))
+    rows = numbered(sizes, ["rank", "idx"], "_k")
+    first = rows.groupBy("rank").agg(F.min("_k").alias("_first"))
+    rows = rows.join(F.broadcast(first), "rank").withColumn("batch", F.floor((F.col("_k") - F.col("_first")) / batch))
+    rows = rows.withColumn("_w", F.max("_n").over(Window.partitionBy("rank", "batch"))).select("rank", "batch", "idx", "_w")
+    tokens = rendered.where(sound).select(F.col(idx).cast("long").alias("idx"), "ids", "mask")
+    return rows.join(tokens, "idx").select("rank", "batch", "idx", padded(F.col("ids"), F.col("_w"), pad).alias("inputs"), padded(masked_targets(F.col("ids"), F.col("mask")), F.col("_w"), -1).alias("targets"))
 
 
 def next_fit(lengths: Iterator[tuple[int, int]], capacity: int) -> Iterator[tuple[int, int, int, int]]:

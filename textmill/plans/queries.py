@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, text
 from ..operators import bpe, chat, evaluation, ordered, packing, schedules, tasks
 from ..operators.tokenizer import Tokenizer
+from ..runtime import cut
 from ..sources import corpus, runs
 from ..streaming import corpus as streams
 
@@ -97,19 +98,21 @@ def conversation_fold_system(spark, folder):
     return _folded(spark, folder).select("conv_id", F.size(m).alias("n_messages"), F.get(m, F.lit(0))["content"].alias("first_user"), F.get(m, F.size(m) - 1)["role"].alias("last_role"))
 
 
-def _rendered(spark, folder) -> DataFrame:
+def _sound(spark, folder) -> DataFrame:
     # Unsound conversations go before they are rendered: a filter on the result would make it twice.
-    return chat.render(_talk(spark, folder).where(chat.alternates(chat.folded(chat.tidy_roles(F.col("messages"))))))
+    return _talk(spark, folder).where(chat.alternates(chat.folded(chat.tidy_roles(F.col("messages")))))
 
 
 @query
 def conversation_render_bytes(spark, folder):
     ids, mask = F.col("ids"), F.col("mask")
-    return _rendered(spark, folder).select("conv_id", F.size(ids).alias("n_ids"), _total(mask).alias("n_masked"), _check(ids).alias("ids_check"), _check(mask).alias("mask_check"))
+    return chat.render(_sound(spark, folder)).select("conv_id", F.size(ids).alias("n_ids"), _total(mask).alias("n_masked"), _check(ids).alias("ids_check"), _check(mask).alias("mask_check"))
 
 
 def _sequences(spark, folder) -> DataFrame:
-    return ordered.numbered(_rendered(spark, folder).select("conv_id", "ids", "mask"), ["conv_id"])
+    """Rendered conversations with dense numbers, written once: several steps read them."""
+    rows = cut(chat.render(_sound(spark, folder)).select("conv_id", "ids", "mask"))
+    return rows.join(ordered.numbered(rows.select("conv_id"), ["conv_id"]), "conv_id")
 
 
 @query
