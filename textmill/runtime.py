@@ -26,7 +26,9 @@ def session(master: str | None = None, app: str = "textmill", **conf: str) -> Sp
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    reachable(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,3 +75,12 @@ def small(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what}: more than {limit} rows, too many for the driver")
     return rows
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this library from where it lies, whatever their working directory; on a cluster it must lie there too, or be installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
