@@ -89,3 +89,32 @@ def test_report_counts_by_split_and_source(spark):
     pairs = spark.createDataFrame([("a", 1, 10), ("a", 2, 10)], "tab string, train_id long, held_id long")
     records = spark.createDataFrame([("a", 10, "test", "s"), ("a", 10, "test", "s"), ("a", 1, "train", "s")], "tab string, id long, split string, source string")
     assert [tuple(r) for r in cross_split.by_split_and_source(pairs, records).collect()] == [("a", "test", "s", 2, 1)]
+
+
+def overlapping(spark, pairs):
+    """Which of the pairs (training text, held-out text) are found, and how many have a likeness of 0.60 or more."""
+    rows = [("a", k + 10_000 * (not side), bool(side), p[1 - side]) for k, p in enumerate(pairs) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "tab string, id long, train boolean, text string")
+    got = {(r.train_id, r.held_id - 10_000) for r in cross_split.overlaps(df, words=3, threshold=0.6, min_words=30).collect()}
+    return got, {(k, k) for k, (a, b) in enumerate(pairs) if likeness(a, b) >= 0.6}
+
+
+def just_above(rng, words, fresh):
+    """The words with random substitutions, as many as leave a likeness just above 0.60."""
+    best, now = list(words), list(words)
+    for at in rng.sample(range(len(words)), len(words)):
+        now[at] = fresh()
+        if likeness(" ".join(words), " ".join(now)) < 0.6:
+            return best
+        best = list(now)
+    return best
+
+
+def test_overlaps_meet_every_pair_just_above_the_threshold(spark):
+    rng = random.Random(6)
+    pairs = []
+    for k in range(160):
+        words = [f"v{rng.randrange(10**6)}" for _ in range((32, 40, 50, 120, 200)[k % 5])]
+        pairs.append((" ".join(words), " ".join(just_above(rng, words, lambda: f"u{rng.randrange(10**6)}"))))
+    got, want = overlapping(spark, pairs)
+    assert got == want and len(want) == 160
