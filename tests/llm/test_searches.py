@@ -118,3 +118,14 @@ def test_overlaps_meet_every_pair_just_above_the_threshold(spark):
         pairs.append((" ".join(words), " ".join(just_above(rng, words, lambda: f"u{rng.randrange(10**6)}"))))
     got, want = overlapping(spark, pairs)
     assert got == want and len(want) == 160
+
+
+def test_overlaps_meet_long_records_with_evenly_spaced_edits(spark):
+    rng = random.Random(7)
+    pairs = []
+    for k in range(40):
+        words = [f"v{rng.randrange(10**6)}" for _ in range((120, 200, 400, 1000)[k % 4])]
+        edited = [f"u{rng.randrange(10**6)}" if i % 13 == 6 else w for i, w in enumerate(words)]
+        pairs.append((" ".join(words), " ".join(edited)))
+    got, want = overlapping(spark, pairs)
+    assert got == want and len(want) == 40
