@@ -129,3 +129,13 @@ def test_overlaps_meet_long_records_with_evenly_spaced_edits(spark):
         pairs.append((" ".join(words), " ".join(edited)))
     got, want = overlapping(spark, pairs)
     assert got == want and len(want) == 40
+
+
+def test_overlaps_meet_records_that_repeat_their_content(spark):
+    rng = random.Random(8)
+    pairs = []
+    for k in range(30):
+        once = " ".join(f"v{rng.randrange(10**6)}" for _ in range(50))
+        pairs.append((once, " ".join([once] * (2 + k % 3))) if k % 2 else (" ".join([once] * (2 + k % 3)), once))
+    got, want = overlapping(spark, pairs)
+    assert got == want and len(want) == 30
