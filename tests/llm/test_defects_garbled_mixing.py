@@ -63,6 +63,47 @@ def test_label_model_learns_which_votes_to_trust():
     assert all(defects.decode(defects.encode(v), 3) == v for v in counts)
 
 
+def readings(pattern):
+    """Texts that a pattern without lookarounds matches, one for each way through its alternatives."""
+    from re import _parser as parser
+
+    def walk(items):
+        out = [""]
+        for op, x in items:
+            op = str(op)
+            if op == "LITERAL":
+                some = [chr(x)]
+            elif op == "BRANCH":
+                some = [t for part in x[1] for t in walk(part)]
+            elif op == "SUBPATTERN":
+                some = walk(x[3])
+            elif op == "MAX_REPEAT":
+                some = ([""] if x[0] == 0 else []) + walk(x[2])
+            elif op == "IN":
+                some = [chr(v) for kind, v in x if str(kind) == "LITERAL"] or ["x"]
+            else:
+                raise ValueError(op)
+            out = [a + b for a in out for b in some]
+        return out
+
+    return walk(parser.parse(pattern))
+
+
+def test_every_refusal_has_a_cue():
+    texts = readings(defects.REFUSALS.pattern)
+    assert len(texts) > 200 and all(defects.REFUSALS.fullmatch(t) for t in texts)
+    assert [t for t in texts if not any(c in t.lower() for c in defects.CUES)] == []
+
+
+def test_refusals_of_every_language_and_length_are_voted_for():
+    lore = defects.Lore()
+    for answer in ("Je ne suis pas autorisé à répondre à cette question.", "No estoy en condiciones de responder.", "I'm sorry. " + "I cannot help with that request, nor with any other of its kind. " * 15):
+        v = defects.votes("Please tell me about the bridge.", answer, lore)["refusal"]
+        assert v[:2] == (1, 1) and v[2] >= 0
+    long = " ".join(GOOD * 4) + " I cannot help with that."
+    assert defects.votes("Please tell me about the bridge.", long, lore)["refusal"][:2] == (-1, -1)
+
+
 CLEAN = ["La bergère conserve bientôt les pièces dès le matin.", "Der Bäcker verkürzt die Säge für die Schüler über Nacht.", "¿Quién diría que la montaña cruzó el desagüe también?", "Лесник осторожно чинит лодку до позднего вечера.", "A condição produz a razão e o coração não atrai a mãe.", "“The café of Télö sold 125 loaves,” he wrote — and left."]
 
 
