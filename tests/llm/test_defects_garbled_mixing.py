@@ -104,6 +104,19 @@ def test_refusals_of_every_language_and_length_are_voted_for():
     assert defects.votes("Please tell me about the bridge.", long, lore)["refusal"][:2] == (-1, -1)
 
 
+def test_the_second_language_function_can_contradict_the_first():
+    import numpy as np
+
+    words = "casa perro libro mesa cachorro livro janela menino".split()
+    spanish = np.arange(8) < 4
+    table = np.array([[5.0 * ((k == "es") == s and k in ("es", "pt")) for k in defects.MARKERS] for s in spanish], np.float32)
+    lore = defects.Lore(known_words={w: k for k, w in enumerate(words)}, by_language=table)
+    # Markers of both take the same side; the words of the lore tell the languages apart.
+    user, answer = "como para se casa perro libro mesa muy con por pero", "por con muy cachorro livro janela menino pero según desde"
+    assert defects.language(user.split()) == defects.language(answer.split()) == "es"
+    assert defects.votes(user, answer, lore)["language"][:2] == (-1, 1)
+
+
 CLEAN = ["La bergère conserve bientôt les pièces dès le matin.", "Der Bäcker verkürzt die Säge für die Schüler über Nacht.", "¿Quién diría que la montaña cruzó el desagüe también?", "Лесник осторожно чинит лодку до позднего вечера.", "A condição produz a razão e o coração não atrai a mãe.", "“The café of Télö sold 125 loaves,” he wrote — and left."]
 
 
