@@ -19,6 +19,7 @@ from ..streaming import corpus as streams
 #: The vocabulary of the queries that encode; the driver reads the file.
 RANKS = os.environ.get("TEXTMILL_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 ROW, BATCH, WORLD = 2048, 8, 4
+VOCABULARY = 32_768
 QUERIES: dict = {}
 
 
@@ -71,8 +72,8 @@ def top_pair(spark, folder):
 
 @query
 def bpe_vocabulary(spark, folder):
-    """300 merges; the bytes of each token in hex, special tokens behind them."""
-    vocab = bpe.learn(_documents(spark, folder), 556)
+    """The default vocabulary size; the bytes of each token in hex, special tokens behind them."""
+    vocab = bpe.learn(_documents(spark, folder), VOCABULARY)
     specials = bpe.special_ids(vocab)
     names = vocab.select("token_id", F.hex("bytes").alias("token")).unionByName(specials.select("token_id", "token"))
     return names.join(bpe.token_bytes(vocab, specials), "token_id")
@@ -396,9 +397,10 @@ def streamed_histogram(spark, folder):
 
 @query
 def row_group_scan(spark, folder):
-    """The documents by row group, every second one."""
+    """The documents by row group, those of both ranks."""
     source = f"{folder}/documents.parquet"
     if os.path.isfile(source):
         source = tempfile.mkdtemp(prefix="textmill-")
         os.symlink(os.path.abspath(f"{folder}/documents.parquet"), os.path.join(source, "documents.parquet"))
-    return corpus.row_groups(spark, source, rank=0, world=2).groupBy("pf_idx", "rg_idx").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    both = corpus.row_groups(spark, source, rank=0, world=2).unionByName(corpus.row_groups(spark, source, rank=1, world=2))
+    return both.groupBy("pf_idx", "rg_idx").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
