@@ -69,6 +69,12 @@ def _remove(spark: SparkSession, app: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where it has fewer: work in Python on a table of a few row groups then uses them all. Larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table of which at most `limit` may reach the driver; more raise ValueError."""
     rows = df.limit(limit + 1).collect()
