@@ -71,7 +71,9 @@ def readings(pattern):
         out = [""]
         for op, x in items:
             op = str(op)
-            if op == "LITERAL":
+            if op == "AT":
+                some = [""]
+            elif op == "LITERAL":
                 some = [chr(x)]
             elif op == "BRANCH":
                 some = [t for part in x[1] for t in walk(part)]
@@ -89,29 +91,50 @@ def readings(pattern):
     return walk(parser.parse(pattern))
 
 
-def test_every_refusal_has_a_cue():
-    texts = readings(defects.REFUSALS.pattern)
-    assert len(texts) > 200 and all(defects.REFUSALS.fullmatch(t) for t in texts)
-    assert [t for t in texts if not any(c in t.lower() for c in defects.CUES)] == []
+def test_every_pattern_has_its_cue():
+    for pattern, bit in ((defects.REFUSALS, defects.DENIAL), (defects.ASKS_COPY, defects.ASKING_COPY), (defects.ASKS_LANGUAGE, defects.ASKING_LANGUAGE)):
+        texts = [t.strip() for t in readings(pattern.pattern)]
+        assert len(texts) > 15 and all(pattern.search(t) for t in texts)
+        assert [t for t in texts if not any(defects._flags(w) & bit for w in defects.WORD.findall(t.lower()))] == []
 
 
-def test_refusals_of_every_language_and_length_are_voted_for():
-    lore = defects.Lore()
+def test_refusals_of_every_language_length_and_wording_are_voted_for():
+    lore, ask = defects.Lore(), "Please tell me about the bridge."
     for answer in ("Je ne suis pas autorisé à répondre à cette question.", "No estoy en condiciones de responder.", "I'm sorry. " + "I cannot help with that request, nor with any other of its kind. " * 15):
-        v = defects.votes("Please tell me about the bridge.", answer, lore)["refusal"]
+        v = defects.votes(ask, answer, lore)["refusal"]
         assert v[:2] == (1, 1) and v[2] >= 0
+    for answer in defects.DECLINING:  # no list has these
+        assert sum(defects.votes(ask, answer, lore)["refusal"]) > 0, answer
     long = " ".join(GOOD * 4) + " I cannot help with that."
-    assert defects.votes("Please tell me about the bridge.", long, lore)["refusal"][:2] == (-1, -1)
+    assert defects.votes(ask, long, lore)["refusal"][1] == -1
 
 
-def test_the_second_language_function_can_contradict_the_first():
-    import numpy as np
+def test_each_function_votes_by_itself():
+    lore = defects.Lore()
+    v = defects.votes("How tall is the old bridge near the mill?", "(no answer)", lore)
+    assert v["empty"].count(1) >= 2 and len(set(v["copy"])) > 1
+    spoken = {d: set() for d in defects.DEFECTS}
+    asks = ["How tall is the old bridge near the mill?", "Repeat after me: the mill is old and near the tall bridge.", "Translate into German: the old mill.", "Wie hoch ist die Brücke bei der Mühle und wer hat sie im Frühling für das Dorf gebaut?", "Хорошо ли видно мост из окна старой мельницы?"]
+    answers = asks + GOOD + list(defects.DECLINING) + ["", None, "...", "N/A", "the old bridge near the mill", "1. One thing.\n2. Another.\n3.", "So 3 + 4 = 3+4=77 and then", "She said (and so did", "The old bridge near the mill is tall and the"]
+    for u in asks:
+        for a in answers:
+            for d, x in defects.votes(u, a, lore).items():
+                spoken[d].add(x)
+    assert all(len(p) >= 5 for p in spoken.values()), {d: len(p) for d, p in spoken.items()}
+
 
+def test_a_numbered_list_that_ends_on_a_bare_number_is_broken_off():
+    lore, ask = defects.Lore(), "What does the mill do?"
+    whole = "It does three things.\n1. It grinds the grain.\n2. It pumps the water.\n3. It saws the wood."
+    assert sum(defects.votes(ask, whole[: whole.rindex(" It saws")], lore)["truncated"]) >= 2
+    assert sum(defects.votes(ask, whole, lore)["truncated"]) < 0
+
+
+def test_the_second_language_function_can_contradict_the_first():
     words = "casa perro libro mesa cachorro livro janela menino".split()
-    spanish = np.arange(8) < 4
-    table = np.array([[5.0 * ((k == "es") == s and k in ("es", "pt")) for k in defects.MARKERS] for s in spanish], np.float32)
-    lore = defects.Lore(known_words={w: k for k, w in enumerate(words)}, by_language=table)
-    # Markers of both take the same side; the words of the lore tell the languages apart.
+    trigrams = {g: tuple(9.0 * ((k == "es") == (w in words[:4])) * (k in ("es", "pt")) for k in defects.MARKERS) for w in words for g in defects._trigrams(w)}
+    lore = defects.Lore(trigrams=trigrams, rare=(0.0,) * 6)
+    # Markers of both take the same side; the trigrams tell the languages apart.
     user, answer = "como para se casa perro libro mesa muy con por pero", "por con muy cachorro livro janela menino pero según desde"
     assert defects.language(user.split()) == defects.language(answer.split()) == "es"
     assert defects.votes(user, answer, lore)["language"][:2] == (-1, 1)

@@ -71,6 +71,7 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The defect of the highest posterior."""
     return p4_labels(spark, folder).select("conv_id", "turn", F.col("labels")[0].alias("defect"))
 
 

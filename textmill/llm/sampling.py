@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 _PARTS = 1 << 30
 
 
-def seeded_sample(rows: DataFrame, hashed: Column, n: int, total: int) -> list:
-    """The first n rows by a hash. total: about how many rows there are.
+def seeded_sample(rows: DataFrame, hashed: Column, n: int, total: int, spare: int = 64) -> list:
+    """The first n rows by a hash. total: how many rows there are before `rows` was filtered, at most.
 
-    Only a part of the hashes is looked at, so that the tasks together send a few times n rows and not n rows each; the part grows where too few rows
-    are in it. The result is the same whatever the part.
+    One pass over the rows whose hash is in the lowest part, wide enough to hold `spare` times n rows if none was filtered. Only where fewer than one row in `spare` is left,
+    a second pass looks at all of them. Each task keeps n rows at most, one task of the cluster merges them, and n rows reach the driver. The result is the same whatever the part.
     """
     place = F.pmod(hashed, F.lit(_PARTS))
-    part = min(1.0, 4 * n / max(total, 1))
-    while True:
-        got = rows.where(place < int(part * _PARTS)).orderBy(place, hashed).limit(n).collect()
-        if len(got) >= n or part >= 1:
-            return got
-        part = min(1.0, part * 8)
+    for part in sorted({min(1.0, spare * n / max(total, 1)), 1.0}):
+        # With an operator above the limit a task merges the tasks' rows, and not the driver.
+        got = rows.where(place < int(part * _PARTS)).orderBy(place, hashed).limit(n).coalesce(1).collect()
+        if len(got) >= n:
+            break
+    return got
