@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _PARTS = 1 << 30
 
 
-def seeded_sample(rows: DataFrame, hashed: Column, n: int, total: int, spare: int = 64) -> list:
+def seeded_sample(rows: DataFrame, hashed: Column, n: int, total: int, spare: int = 8) -> list:
     """The first n rows by a hash. total: how many rows there are before `rows` was filtered, at most.
 
     One pass over the rows whose hash is in the lowest part, wide enough to hold `spare` times n rows if none was filtered. Only where fewer than one row in `spare` is left,
