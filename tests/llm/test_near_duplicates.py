@@ -74,3 +74,43 @@ def test_a_very_long_text(spark, size):
     text = "word " * (size // 10) + " ".join(f"v{k % 9000}" for k in range(size // 12))
     df = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")
     assert [tuple(r) for r in nd.pairs(df).collect()] == [(1, 2)]
+
+
+def templates(n, rng):
+    """Texts that share a template of 100 words and have 100 words of their own: no two are alike."""
+    shared = " ".join(f"t{k}" for k in range(100))
+    return [(i, shared + " " + " ".join(f"x{rng.randrange(10**9)}" for _ in range(100))) for i in range(n)]
+
+
+def test_a_common_template_does_not_make_candidates_quadratic(spark):
+    found = []
+    for n in (500, 1000, 2000, 4000):
+        df = spark.createDataFrame(templates(n, random.Random(n)), "doc_id long, text string")
+        bands, rows = nd.choose_bands(0.6, 0.999)
+        sigs = nd.signatures(df, "doc_id", "text", 3, 30, bands, rows)
+        found.append(nd.candidates(sigs, sigs.select("id"), df, "doc_id", "text", 3, 0.6, 30).count())
+    assert found[-1] <= max(8 * found[0], 400), found
+
+
+def test_hot_bands_lose_no_pair(spark):
+    rng = random.Random(7)
+    rows = corpus(rng, 120)
+    want = brute(rows, 3, 0.6, 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2, 100):  # 2: nearly all pairs by prefix filtering
+        assert {tuple(r) for r in nd.pairs(df, words=3, threshold=0.6, min_words=30, hot=hot).collect()} == want
+
+
+def test_signatures_tell_unlike_texts_apart(spark):
+    from pyspark.sql import functions as F
+
+    rows = corpus(random.Random(9), 200)
+    sets = {i: grams(t, 3, 30) for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = nd.signatures(df, "doc_id", "text", 3, 30, *nd.choose_bands(0.6, 0.999)).select("id", "sig")
+    both = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), F.col("a") < F.col("b"))
+    got = {(r.a, r.b): 1 - r.d / nd.SIGNATURE for r in both.select("a", "b", nd.differing_values("sa", "sb").alias("d")).collect()}
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in got}
+    assert all(abs(got[p] - (likeness[p] + (1 - likeness[p]) / 16)) < 0.23 for p in got)
+    least = nd.least_alike(0.6) / nd.SIGNATURE
+    assert not [p for p in got if likeness[p] >= 0.6 and got[p] < least] and len([p for p in got if likeness[p] < 0.2 and got[p] >= least]) < 0.01 * len(got)

@@ -1,8 +1,11 @@
 """Problem 1: groups and pairs of near-duplicate texts by MinHash banding.
 
 Each text becomes the set of its word n-grams. Texts with equal sets are one class with one representative; copies are
-never compared. Every representative gets bands * rows MinHash values; representatives that agree on all rows of a band
-meet in a shuffle on the band's hash, and each pair that met is verified on the two full n-gram sets.
+never compared. Every representative gets MinHash values; representatives that agree on all rows of a band meet in a shuffle on the band's hash.
+
+What meets in a band is bounded: where more than `hot` representatives have one band hash, as those of a common template do, they are met by prefix filtering
+on their n-grams instead, rare n-grams first, which loses no pair and lets texts that share a template only not meet at all. Of the pairs that met, those go whose compact signatures (a few
+bits of each MinHash value) are too unlike for the threshold; the others are verified on the two full n-gram sets.
 """
 
 from __future__ import annotations
@@ -11,24 +14,47 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
+from .prefixes import ROUNDING, frequent, ordered_grams, prefix_length, salts
 from .words import Words, distinct, mix, set_digest, slices
 
 
 def choose_bands(threshold: float, recall: float, rows: int | None = None) -> tuple[int, int]:
     """(bands, rows): a pair at the threshold is met with probability `recall` at least.
 
-    Without `rows`, the largest row count is taken that needs at most 64 bands: more rows let fewer unlike pairs meet.
+    Without `rows`, the largest row count is taken that needs at most 32 bands: more rows let fewer unlike pairs meet, more bands cost shuffle.
     """
     need = lambda r: math.ceil(math.log(1 - recall) / math.log(1 - threshold**r))
     if rows is None:
-        rows = max((r for r in range(1, 33) if need(r) <= 64), default=1)
+        rows = max((r for r in range(1, 33) if need(r) <= 32), default=1)
     return need(rows), rows
 
 
+#: MinHash values in the signature and bits of each; SIGNATURE * BITS / 64 longs.
+SIGNATURE, BITS = 128, 4
+
+
+def least_alike(threshold: float, sigmas: float = 4.0) -> int:
+    """How many of the SIGNATURE values two texts at the threshold have in common at least, but for a chance of 3 in 100,000 (sigmas = 4)."""
+    p = threshold + (1 - threshold) / (1 << BITS)
+    return math.floor(SIGNATURE * p - sigmas * math.sqrt(SIGNATURE * p * (1 - p)))
+
+
+def differing_values(a: str, b: str):
+    """In how many signature values the columns of two signatures (array<long>) differ."""
+    ones = F.lit(int("1" * 16, 16))
+    total = F.lit(0)
+    for k in range(SIGNATURE * BITS // 64):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(ones))
+    return total
+
+
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     values = mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
     return (values[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (values[n:] >> np.uint64(32)).astype(np.uint32)
@@ -48,7 +74,7 @@ def min_hashes(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """One row for each text with min_words words or more: id, h1 and h2 (digest of its n-gram set), n (its size), bands (array of hashes)."""
+    """One row for each text with min_words words or more: id, h1 and h2 (digest of its n-gram set), n (its size), bands (array of hashes), sig (SIGNATURE values of BITS bits)."""
 
     def run(batches):
         for batch in batches:
@@ -62,7 +88,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, min_word
                 have = t[starts]
                 if not len(have):
                     continue
-                low = min_hashes(h, starts, bands * rows).astype(np.uint64)
+                low = min_hashes(h, starts, max(bands * rows, SIGNATURE)).astype(np.uint64)
+                few = mix(low[:SIGNATURE]) & np.uint64((1 << BITS) - 1)
+                in_long = 64 // BITS
+                sig = np.zeros((len(have), SIGNATURE // in_long), np.uint64)
+                for k in range(SIGNATURE):
+                    sig[:, k // in_long] |= few[k] << np.uint64(BITS * (k % in_long))
                 keys = np.empty((len(have), bands), np.int64)
                 for k in range(bands):
                     key = np.full(len(have), k + 1, np.uint64)
@@ -75,14 +106,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, min_word
                         pa.array(h1[have]),
                         pa.array(h2[have]),
                         pa.array(np.diff(np.append(starts, len(t))).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel())),
+                        *(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (keys, sig.view(np.int64))),
                     ],
-                    names=["id", "h1", "h2", "n", "bands"],
+                    names=["id", "h1", "h2", "n", "bands", "sig"],
                 )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # A text of m words has 2 * m - 1 characters at least.
-    return texts.where((F.length("text") >= max(2 * min_words - 1, 2 * words - 1)) & F.col("id").isNotNull()).mapInArrow(run, "id long, h1 long, h2 long, n int, bands array<long>")
+    return spread(texts.where((F.length("text") >= max(2 * min_words - 1, 2 * words - 1)) & F.col("id").isNotNull())).mapInArrow(run, "id long, h1 long, h2 long, n int, bands array<long>, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -117,26 +148,51 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
     return both.withColumn("_s", shared).select("a", "b", likeness.alias("likeness")).where(F.col("likeness") >= threshold)
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of representatives that agree on a band and whose sizes allow the threshold.
+def prefix_pairs(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, min_words: int, sample: int, most: int) -> DataFrame:
+    """Pairs (a, b), a < b, of texts that share an n-gram of both prefixes, at places that leave enough behind them, and whose sizes allow the threshold."""
+    records = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("salt"))
+    hot = docs.sparkSession.sparkContext.broadcast(frequent(records, words, min_words, sample, most))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                g, t, _ = ordered_grams(texts[a:b], salts(batch, a, b), words, min_words, hot.value)
+                n = np.bincount(t, minlength=b - a)
+                place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+                keep = place < prefix_length(n, threshold)[t]
+                ids = batch.column("id").slice(a, b - a).take(pa.array(t[keep]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n[t[keep]].astype(np.int32)), pa.array(g[keep].view(np.int64)), pa.array(place[keep].astype(np.int32))], names=["id", "n", "gram", "place"])
+
+    rows = records.mapInArrow(run, "id long, n int, gram long, place int").repartition("gram")  # both sides of the join use it
+    left, right = (rows.select("gram", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}")) for x in "ab")
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(ROUNDING)
+    return left.join(right, "gram").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+
+
+def candidates(sigs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, min_words: int, hot: int = 100, sample: int = 10_000, most: int = 200_000) -> DataFrame:
+    """Pairs (a, b), a < b, of representatives that met and whose signatures allow the threshold. sigs: as signatures() gives it; reps: id.
 
-    Rows of one band hash are split further by the size of their sets, into steps so wide that two sets of the wanted
-    similarity lie in the same step or in neighbouring ones; a hot band hash so becomes several keys, and AQE splits what is still skewed.
+    A band hash that up to `hot` representatives have lets all of them meet, so a representative meets hot * bands others at most; the representatives of hotter band hashes
+    are met by prefix_pairs(). sample, most: see frequent().
     """
-    width = -math.log(threshold)
-    rows = classes.select("rep", "n", F.explode("bands").alias("band"))
-    # Most band hashes occur once; without them, what is joined is small.
-    shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    rows = cut(rows.join(shared, "band", "left_semi")).withColumn("step", F.floor(F.log("n") / width))
-    left = rows.select(F.col("rep").alias("a"), F.col("n").alias("na"), "band", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
-    right = rows.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "band", "step")
-    # Of two sets in one step the pair is taken with the lower id at the left; of two in neighbouring steps, from the smaller set.
-    met = left.withColumn("own", F.col("step") == F.floor(F.log("na") / width)).join(right, ["band", "step"])
-    met = met.where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, min_words: int = 0, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
+    rows = sigs.join(reps, "id", "left_semi").select(F.col("id").alias("rep"), "n", F.explode("bands").alias("band"))
+    # One shuffle: most band hashes occur once and go no further.
+    counted = cut(rows.withColumn("c", F.count("*").over(Window.partitionBy("band"))).where("c > 1"))
+    # Hashes that are shared are few, or the result is large.
+    cool = counted.where(F.col("c") <= hot).repartition("band")
+    left, right = cool.select("band", F.col("rep").alias("a"), F.col("n").alias("na")), cool.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    sizes = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
+    met = left.join(right, "band").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    hotter = counted.where(F.col("c") > hot).select(F.col("rep").alias("_rep")).distinct()
+    if not hotter.isEmpty():
+        texts = docs.join(hotter, F.col(id_col).cast("long") == F.col("_rep"), "left_semi").select(id_col, text_col).dropDuplicates([id_col])
+        met = met.unionByName(prefix_pairs(texts, id_col, text_col, words, threshold, min_words, sample, most)).distinct()
+    left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("_sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("_sb"))
+    return met.join(left, "a").join(right, "b").where(differing_values("_sa", "_sb") <= SIGNATURE - least_alike(threshold)).select("a", "b").distinct()
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, min_words: int = 0, recall: float = 0.999, hot: int = 100, sample: int = 10_000, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(members, pairs).
 
     members: `id`, `rep` – each text with enough words and the representative (lowest id) of the texts with the same n-gram set.
@@ -145,10 +201,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     """
     bands, rows = choose_bands(threshold, recall)
     sigs = cut(signatures(docs, id_col, text_col, words, max(min_words, words), bands, rows))
-    classes = sigs.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # Digests alone are shuffled; a representative's row is then the one with its id.
     reps = sigs.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = sigs.select("id", "h1", "h2").join(reps, ["h1", "h2"]).groupBy("id").agg(F.min("rep").alias("rep"))
-    pairs = verify(cut(candidates(classes, threshold)), docs, id_col, text_col, words, threshold)
+    members = cut(sigs.select("id", "h1", "h2").join(reps, ["h1", "h2"]).groupBy("id").agg(F.min("rep").alias("rep")))
+    met = candidates(sigs, members.where("id = rep").select("id"), docs, id_col, text_col, words, threshold, max(min_words, words), hot, sample, most)
+    pairs = verify(cut(met), docs, id_col, text_col, words, threshold)
     return members, pairs
 
 
