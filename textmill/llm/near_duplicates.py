@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, spread
+from .bitmaps import marked
 from .prefixes import ROUNDING, frequent, ordered_grams, prefix_length, salts
 from .words import Words, distinct, mix, set_digest, slices
 
@@ -135,9 +136,9 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
 
     Only texts that are in a pair are read into sets; the counting runs in the JVM. `pairs` is read three times: cut it first.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = shingle_sets(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "id", "text", words)
+    sets = shingle_sets(marked(texts, ["id"], wanted), "id", "text", words).dropDuplicates(["id"])
     both = (
         pairs.select("a", "b")
         .join(sets.select(F.col("id").alias("a"), F.col("grams").alias("_ga")), "a")
