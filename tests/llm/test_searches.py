@@ -139,3 +139,13 @@ def test_overlaps_meet_records_that_repeat_their_content(spark):
         pairs.append((once, " ".join([once] * (2 + k % 3))) if k % 2 else (" ".join([once] * (2 + k % 3)), once))
     got, want = overlapping(spark, pairs)
     assert got == want and len(want) == 30
+
+
+def test_spans_lie_in_the_text_as_it_is(spark):
+    passage = "the quick brown fox jumps over the lazy dog and the old grey goose behind the barn"
+    text = "İ" * 20 + " " + passage.upper() + " and then ΑΣ something else"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage), (8, "nothing of this kind stands in any of the documents that are searched here today")], "item_id long, query string")
+    for chars in (8_000_000, 60):  # one block, several blocks
+        (row,) = leakage.removal_spans(leakage.leaks(docs, items, block_chars=chars)).collect()
+        assert text[row.first : row.past] == passage.upper()

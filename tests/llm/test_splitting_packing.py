@@ -99,3 +99,21 @@ def test_pack_places_every_item_once(spark):
     assert report.most_used <= 200 and report.mean_fill > 0.9
     assert packing.pack(df.limit(0), "id", "text", 200).count() == 0
     assert placed.groupBy("id", "piece").count().where(F.col("count") > 1).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["chars", "utf8_bytes"])
+def test_forced_cuts_are_those_of_one_step_after_the_other(unit):
+    rng = random.Random(11)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abé漢") for _ in range(rng.choice((3, 9, 40, 300)))) for _ in range(rng.randint(1, 12)))
+        most, overlap = rng.choice(((40, 10), (25, 0), (64, 33)))
+        ends, kinds, _ = splitting.cuts(text, most, overlap, unit)
+        size = (lambda t: len(t)) if unit == "chars" else (lambda t: len(t.encode()))
+        at = 0
+        for k, end in enumerate(ends):
+            begin = splitting._back(text, at, overlap, unit) if k else 0
+            assert end > at and size(text[begin:end]) <= most
+            if kinds[k] == splitting.FORCED:  # no boundary lies in the room, which is used up
+                assert not any(text[i - 1].isspace() for i in range(at + 1, end + 1)) and size(text[begin : end + 1]) > most
+            at = end
+        assert at == len(text)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .sampling import seeded_sample
 
 
@@ -269,4 +270,4 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c for c, _ in rows], pa.list_(pa.string())), pa.array([t for _, t in rows], pa.string())], names=["id", "chains", "restored"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.where(F.col("text").rlike("[^\\x00-\\x7f]|&#?\\w{2,8};")).mapInArrow(run, "id long, chains array<string>, restored string").withColumnRenamed("id", id_col)
+    return spread(texts.where(F.col("text").rlike("[^\\x00-\\x7f]|&#?\\w{2,8};"))).mapInArrow(run, "id long, chains array<string>, restored string").withColumnRenamed("id", id_col)

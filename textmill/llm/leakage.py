@@ -10,13 +10,15 @@ Words that no item has cannot be part of an occurrence; they all are the number
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small
-from .words import Words, slices
+from ..runtime import spread
+from .words import Words, in_original, slices
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -135,6 +137,7 @@ class Phrases:
         runs = numbers[inside[:, None] + np.arange(words)] if len(inside) else np.zeros((0, words), np.int64)
         owner = np.array([i for i, _ in items], np.int64)[w.text[inside]] if len(inside) else np.zeros(0, np.int64)
         self.runs, which = np.unique(runs, axis=0, return_inverse=True) if len(runs) else (runs, np.zeros(0, np.int64))
+        self.runs = self.runs.astype(np.int32)
         both = np.unique(np.stack((which.ravel(), owner)), axis=1) if len(runs) else np.zeros((2, 0), np.int64)
         self.starts, self.owners = np.searchsorted(both[0], np.arange(len(self.runs) + 1)), both[1]
 
@@ -142,7 +145,7 @@ class Phrases:
         if not len(self.alphabet):
             return np.ones(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.alphabet, hashes), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == hashes, at + 2, 1)
+        return np.where(self.alphabet[at] == hashes, at + 2, 1).astype(np.int64)
 
 
 def spans_of_shard(phrases: Phrases, words: Words, n_texts: int, sample: int = 8) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -190,15 +193,27 @@ def spans_of_shard(phrases: Phrases, words: Words, n_texts: int, sample: int = 8
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "query", words: int = 12, max_items: int = 100_000, shard_chars: int = 1 << 21
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "query", words: int = 12, block_chars: int = 8_000_000, shard_chars: int = 1 << 21
 ) -> DataFrame:
     """item_id, doc_id, spans: each item and document that have `words` consecutive words in common.
 
-    spans: array of (first, past), the merged character ranges of the item's passages in the lower-cased document.
-    Null, empty or shorter texts are in no row. Items beyond max_items raise ValueError: search them in several calls. Document ids must be unique.
+    spans: array of (first, past), the merged character ranges of the item's passages in the document as it is. Items are searched in blocks of about block_chars characters, with one scan
+    of the documents for each block (and one block at least); what is broadcast for a block, its phrases, takes about 12 bytes a character.
+    Null, empty or shorter texts are in no row. Rows that repeat an item's id are parts of one item. Document ids must be unique.
     """
-    rows = small(items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()), max_items, "leaks(): items")
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in rows], words))
+    texts = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null and i is not null")
+    chars = texts.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, math.ceil(chars / block_chars))
+    found = None
+    for k in range(blocks):
+        rows = texts.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()  # about block_chars characters
+        part = _search(docs, Phrases([(r[0], r[1]) for r in rows], words), id_col, text_col, shard_chars)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _search(docs: DataFrame, block: Phrases, id_col: str, text_col: str, shard_chars: int) -> DataFrame:
+    phrases, words = docs.sparkSession.sparkContext.broadcast(block), block.words
 
     def run(batches):
         p, ids, texts, total = phrases.value, [], [], 0
@@ -217,14 +232,14 @@ def leaks(
     def shard(p, ids, texts):
         w = Words(texts)
         found = spans_of_shard(p, w, len(texts))
-        spans = [[{"first": int(w.first[a]), "past": int(w.past[b - 1])} for a, b in s] for _, _, s in found]
+        spans = [[dict(zip(("first", "past"), in_original(texts[t], int(w.first[a]), int(w.past[b - 1])))) for a, b in s] for t, _, s in found]
         return pa.RecordBatch.from_arrays(
             [pa.array([i for _, i, _ in found], pa.int64()), pa.array([ids[t] for t, _, _ in found], pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())])))],
             names=["item_id", "doc_id", "spans"],
         )
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.where((F.length("text") >= 2 * words - 1) & F.col("doc_id").isNotNull()).mapInArrow(run, "item_id long, doc_id long, spans array<struct<first: long, past: long>>")
+    return spread(texts.where((F.length("text") >= 2 * words - 1) & F.col("doc_id").isNotNull())).mapInArrow(run, "item_id long, doc_id long, spans array<struct<first: long, past: long>>")
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, small
+from ..runtime import cut, small, spread
 
 #: Fixed value: the split pattern that belongs to the public byte-level ranks.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,7 +43,7 @@ def token_counts(docs: DataFrame, text_col: str, ranks_file: str) -> DataFrame:
             counts = [len(encode(t)) if t else 0 for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keys), pa.array(counts, pa.int64())], names=[*(f.name for f in keys), "n_tokens"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "n_tokens long"]))
+    return spread(docs).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "n_tokens long"]))
 
 
 def min_cost_flow(edges: list[tuple[int, int, int, int]], n: int, source: int, sink: int) -> list[int]:

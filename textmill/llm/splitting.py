@@ -96,16 +96,20 @@ def cuts(text: str, max_size: int, overlap: int, unit: str = "chars") -> tuple[l
         out[done], kind[done] = n, 4
         return out, kind
 
+    def forced_behind(f):
+        """Where cuts forced one after the other may lie, from f to the next boundary: f + k * step in characters; in bytes any place."""
+        k = np.searchsorted(words, f, side="right")
+        stop = int(words[k]) if k < len(words) else n
+        return np.arange(f, min(stop, n), max_size - overlap if size is None else 1)
+
     nodes = np.unique(np.append(words[words < n], 0))
     to, kind = successors(nodes)
     known = [(nodes, to, kind)]
-    fresh = np.setdiff1d(to[kind == 3], np.append(nodes, n))
-    while len(fresh):  # forced cuts lie beside the boundaries and have successors of their own
+    while len(fresh := np.setdiff1d(to[(kind == 3) & (to < n)], nodes)):
+        fresh = np.setdiff1d(np.concatenate([forced_behind(f) for f in fresh]), nodes)
         to, kind = successors(fresh)
         known.append((fresh, to, kind))
-        nodes = np.union1d(nodes, fresh) if len(known) % 64 == 0 else nodes
-        fresh = np.setdiff1d(to[kind == 3], np.append(fresh, n))
-        fresh = fresh[~np.isin(fresh, nodes)]
+        nodes = np.union1d(nodes, fresh)
     nodes, to, kind = (np.concatenate(x) for x in zip(*known))
     order = np.unique(nodes, return_index=True)[1]
     nodes, to, kind = nodes[order], to[order], kind[order]

@@ -79,6 +79,14 @@ def slices(texts: list[str | None], limit: int = STRETCH // 2):
         yield at, len(texts)
 
 
+def in_original(text: str, first: int, past: int) -> tuple[int, int]:
+    """The range of a text that became the range (first, past) of the lower-cased text, which may be longer."""
+    if len(text.lower()) == len(text):
+        return first, past
+    ends = np.cumsum(np.fromiter((len(c.lower()) for c in text), np.int64, len(text)))
+    return int(np.searchsorted(ends, first, side="right")), int(np.searchsorted(ends, past - 1, side="right")) + 1
+
+
 class Words:
     """The words of a batch of texts: hash, index of the text, and, in the lower-cased text, first and past-the-end position."""
 
