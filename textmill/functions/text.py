@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,14 +23,24 @@ def utf8_bytes(text: Column) -> Column:
     return F.when(F.octet_length(text) > 0, F.transform(chars, lambda c: F.ascii(c))).when(text.isNotNull(), F.array().cast("array<int>"))
 
 
+def on_specials(text: Column, names: tuple[str, ...]) -> Column:
+    """The text cut before and behind each special token's name, the names kept as pieces; empty pieces are left out."""
+    literal = "|".join(re.escape(n) for n in names)
+    return F.filter(F.split(text, f"(?={literal})|(?<={literal})"), lambda x: x != "")
+
+
+#: What stands before a final answer, and the forms of a number and of a letter.
+NUMBER, NUMBER_OR_LETTER = r"#### (-?[0-9.,]+)", r"#### (-?[0-9.,]+|[A-Z]\b)"
+
+
 def extract_answer(text: Column) -> Column:
     """The number behind the first '#### ', without commas; null if there is none."""
-    return F.nullif(F.replace(F.regexp_extract(text, r"#### (-?[0-9.,]+)", 1), F.lit(","), F.lit("")), F.lit(""))
+    return F.nullif(F.replace(F.regexp_extract(text, NUMBER, 1), F.lit(","), F.lit("")), F.lit(""))
 
 
 def extract_label(text: Column) -> Column:
     """As extract_answer(), but a capital letter counts too."""
-    return F.nullif(F.replace(F.regexp_extract(text, r"#### (-?[0-9.,]+|[A-Z]\b)", 1), F.lit(","), F.lit("")), F.lit(""))
+    return F.nullif(F.replace(F.regexp_extract(text, NUMBER_OR_LETTER, 1), F.lit(","), F.lit("")), F.lit(""))
 
 
 def without_markers(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import common_prefix, common_suffix, last, padded
+from ..functions.arrays import common_prefix, common_suffix, last, padded, upto
 from ..functions.text import strip
 
 
@@ -153,3 +153,78 @@ def draw(logits: DataFrame, row: str = "row", token: str = "token", logit: str =
     uniform = (F.pmod(F.xxhash64(row, token, F.lit(seed)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
     clock = F.log(-F.log(uniform)) - F.col(logit) / temperature
     return logits.groupBy(row).agg(F.min_by(token, F.struct(clock, F.col(token))).alias(token))
+
+
+def scored(items: DataFrame, ids: str = "tokens") -> DataFrame:
+    """item, label, kind, choice, gold, pos, token, before: a row for each token to be scored, `before` the token that stands in front of it. items: item, label, kind, gold, token arrays, starts and ends."""
+    each = items.select("item", "label", "kind", "gold", F.posexplode(F.arrays_zip(F.col(ids).alias("t"), F.col("starts").alias("s"), F.col("ends").alias("e"))).alias("choice", "z"))
+    places = F.when(F.col("z.e") > F.col("z.s"), F.sequence(F.col("z.s"), F.col("z.e") - 1)).otherwise(F.array().cast("array<int>"))
+    each = each.withColumn("pos", F.explode(places))
+    return each.select("item", "label", "kind", "choice", "gold", "pos", F.get("z.t", F.col("pos")).alias("token"), F.get("z.t", F.col("pos") - 1).alias("before"))
+
+
+def prepared(items: DataFrame, config: DataFrame, encode, seed: int = 2026, most: int | None = None) -> DataFrame:
+    """item, label, kind, gold, tokens, starts, ends of all tasks at once: examples, prompts, tokens, spans and cropping.
+
+    config: label, icl_task_type (multiple_choice, schema or language_modeling), num_fewshot, continuation_delimiter. items: item (dense numbers within its label), label, and what its kind needs (query and choices; context_options and continuation; context and
+    continuation; gold). encode: prompt column to array<int>. Examples are the items behind one that its number's md5 picks. Labels without a config have no row; a task with too few items for its examples raises.
+    """
+    counts = items.groupBy("label").agg(F.count("*").alias("_n"))
+    rows = items.join(F.broadcast(config.join(counts, "label")), "label")  # a row per task
+    few = F.raise_error(F.concat(F.lit("too few items in "), F.col("label"))).cast("int")
+    rows = rows.withColumn("_shots", F.when(F.col("num_fewshot") > F.col("_n") - 1, few).otherwise(F.col("num_fewshot")))
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("item").cast("string"))), 1, 8), 16, 10).cast("long")
+    wanted = rows.where("_shots > 0").select("label", F.col("item").alias("_i"), "_n", start.alias("_h"), F.explode(F.sequence(F.lit(0), F.col("_shots") - 1)).alias("_k"))
+    wanted = wanted.withColumn("_j", F.pmod(F.col("_i") + 1 + F.pmod(F.col("_h") + F.col("_k"), F.col("_n") - 1), F.col("_n")))
+    kind, d = F.col("icl_task_type"), F.col("continuation_delimiter")
+    choice = F.concat(F.col("query"), d, F.coalesce(F.get("choices", F.col("gold")), F.lit("")))
+    schema = F.concat(F.get("context_options", F.col("gold")), d, F.col("continuation"))
+    plain = F.concat(strip(F.col("context")), d, F.col("continuation"))
+    shot = F.when(kind == "multiple_choice", choice).when(kind == "schema", schema).otherwise(plain)
+    texts = rows.select("label", F.col("item").alias("_j"), F.coalesce(shot, F.lit("")).alias("_t"))
+    got = wanted.join(texts, ["label", "_j"]).groupBy("label", F.col("_i").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_t"))), lambda x: x["_t"]).alias("shots"))
+    rows = rows.join(got, ["label", "item"], "left").withColumn("shots", F.coalesce("shots", F.array().cast("array<string>")))
+    head = _examples(F.col("shots"))
+    ask = F.concat(head, strip(F.col("context")), d)
+    prompts = (
+        F.when(kind == "multiple_choice", F.transform("choices", lambda c: F.concat(head, F.col("query"), d, F.coalesce(c, F.lit("")))))
+        .when(kind == "schema", F.transform("context_options", lambda c: F.concat(head, c, d, F.col("continuation"))))
+        .otherwise(F.array(strip(ask), F.concat(ask, F.col("continuation"))))
+    )
+    rows = rows.withColumn("tokens", F.transform(prompts, encode)).select("item", "label", kind.alias("kind"), "gold", "tokens")
+    parts = None
+    for name, how in (("multiple_choice", "choice"), ("schema", "schema"), ("language_modeling", "language")):
+        part = spans(rows.where(F.col("kind") == name), how)
+        parts = part if parts is None else parts.unionByName(part)
+    return cropped(parts, most) if most else parts
+
+
+def evaluate_model(items: DataFrame, config: DataFrame, baselines: DataFrame, encode, score, seed: int = 2026, most: int | None = None) -> DataFrame:
+    """label, accuracy, centered, core: from configured tasks and their items to the mean of accuracies above chance.
+
+    score: from scored() to the same rows with `loss` and `predicted`; the network behind it is not part of this library. Choices and schemas are right where the right option has the lowest mean
+    loss, continuations where every token was predicted. All tasks go through one plan.
+    """
+    rows = score(scored(prepared(items, config, encode, seed, most)))
+    key = F.struct("label", "item").alias("item")
+    options = choice_correct(rows.where("kind <> 'language_modeling'").select(key, "choice", "gold", "loss")).select("item", "correct")
+    exact = exact_correct(rows.where("kind = 'language_modeling'").select(key, "predicted", F.col("token").alias("actual")))
+    accuracy = options.unionByName(exact).groupBy(F.col("item.label").alias("label")).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    return core(accuracy, baselines)
+
+
+def response(generated: DataFrame, stops: list[int], ids: str = "ids", longest: int = 128) -> DataFrame:
+    """generated with the tokens before the first stop token, `longest` at most."""
+    return generated.withColumn(ids, upto(F.slice(ids, 1, longest), stops))
+
+
+def attempts(generated: DataFrame, item: str, attempt: str, answer: Column, most: int) -> DataFrame:
+    """item, attempts: the parsed answers of each item's first `most` attempts, in order; null where nothing could be parsed."""
+    first = generated.where(F.col(attempt) < most).select(item, F.struct(F.col(attempt).alias("k"), answer.alias("a")).alias("x"))
+    return first.groupBy(item).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["a"]).alias("attempts"))
+
+
+def validation_loss(batches: DataFrame) -> DataFrame:
+    """One row: loss, n_batches. batches: rank, batch, loss (one row per scored token; targets below 0 count for nothing, as does a batch without scored tokens). The mean over all ranks of the batches' means."""
+    means = batches.where("target >= 0").groupBy("rank", "batch").agg(F.avg("loss").alias("mean"))
+    return means.agg(F.avg("mean").alias("loss"), F.count("*").alias("n_batches"))

@@ -52,9 +52,23 @@ def python_shuffle(df: DataFrame, n: int, idx: str = "idx", seed: int = 2026, ma
 
 
 def char_budget(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
-    """The documents read, in order of id, until their characters reach the budget: those before which fewer were read. Null texts have 0."""
-    size = F.coalesce(F.length(text_col), F.lit(0))
-    return running(docs.select(id_col, text_col), [id_col], size, "chars_before").where(F.col("chars_before") < budget)
+    """The documents read, in order of id, until their characters reach the budget: those before which fewer were read. Null texts have 0; ids must be unique.
+
+    Only ids and lengths are put in order; the texts are read where the ids lie below the last one taken.
+    """
+    sizes = running(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("_n")), ["_id"], F.col("_n"), "chars_before").where(F.col("chars_before") < budget)
+    taken = cut(sizes.select("_id", "chars_before"))
+    last = taken.agg(F.max("_id")).first()[0]
+    return docs.select(id_col, text_col).where(F.col(id_col) <= F.lit(last)).join(taken, F.col(id_col) == F.col("_id")).drop("_id")
+
+
+def numbered_within(df: DataFrame, group: str, idx: str, name: str, per_bucket: int = 1_000_000) -> DataFrame:
+    """df with a dense 0-based number within each group, by the number `idx`, which has about as many values as there are rows: no range partitioning is needed."""
+    df = df.withColumn("_b", F.floor(F.col(idx) / per_bucket))
+    counts = df.groupBy(group, "_b").agg(F.count("*").alias("_c"))
+    before = counts.select(group, "_b", (F.sum("_c").over(Window.partitionBy(group).orderBy("_b")) - F.col("_c")).alias("_before"))  # a row for a million
+    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy(idx)) - 1
+    return df.withColumn("_in", inside).join(before, [group, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
 
 
 def shards(df: DataFrame, key: str, world: int) -> DataFrame:

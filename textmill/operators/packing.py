@@ -14,22 +14,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import masked_targets, padded
-from .ordered import numbered
+from .ordered import numbered_within
 
 
 def sft_rows(rendered: DataFrame, batch: int, length: int, pad: int, idx: str = "idx", world: int = 1) -> DataFrame:
     """rank, batch, idx, inputs, targets: a row per conversation of at most `length` tokens, `batch` of them padded to their longest; all but the assistant's tokens are ignored in targets (-1).
 
-    rendered: idx (dense numbers), ids, mask. Null and too long conversations are skipped; a last incomplete batch is kept.
+    rendered: idx (dense numbers), ids, mask and, if known without rendering, n (length of ids). Null and too long conversations are skipped; a last incomplete batch is kept.
     """
-    sound = (F.size("ids") > 0) & (F.size("ids") <= length)
+    size = F.col("n") if "n" in rendered.columns else F.size("ids")
     # Numbers, batches and widths come from the lengths alone; the tokens move once, to their row.
-    sizes = rendered.where(sound).select(F.col(idx).cast("long").alias("idx"), F.size("ids").alias("_n"), F.pmod(F.col(idx), F.lit(world)).cast("int").alias("rank"))
-    rows = numbered(sizes, ["rank", "idx"], "_k")
-    first = rows.groupBy("rank").agg(F.min("_k").alias("_first"))
-    rows = rows.join(F.broadcast(first), "rank").withColumn("batch", F.floor((F.col("_k") - F.col("_first")) / batch))
+    rows = rendered.select(F.col(idx).cast("long").alias("idx"), size.cast("int").alias("_n"), F.pmod(F.col(idx), F.lit(world)).cast("int").alias("rank")).where(F.col("_n").between(1, length))
+    rows = numbered_within(rows, "rank", "idx", "_k").withColumn("batch", F.floor(F.col("_k") / batch))
     rows = rows.withColumn("_w", F.max("_n").over(Window.partitionBy("rank", "batch"))).select("rank", "batch", "idx", "_w")
-    tokens = rendered.where(sound).select(F.col(idx).cast("long").alias("idx"), "ids", "mask")
+    tokens = rendered.where(size.between(1, length)).select(F.col(idx).cast("long").alias("idx"), "ids", "mask")
     return rows.join(tokens, "idx").select("rank", "batch", "idx", padded(F.col("ids"), F.col("_w"), pad).alias("inputs"), padded(masked_targets(F.col("ids"), F.col("mask")), F.col("_w"), -1).alias("targets"))
 
 
@@ -132,7 +130,7 @@ def rows(sequences: DataFrame, length: int, how: str, pad: int, idx: str = "idx"
 
     'next' pads with `pad` and ignores the padding in targets (-1); 'best' has no padding. sequences: idx and ids.
     """
-    at = places(sequences.select(idx, "ids"), length + 1, how, idx, world, buffer, batch)
+    at = places(sequences.select(idx, *(["n"] if "n" in sequences.columns else ["ids"])), length + 1, how, idx, world, buffer, batch)
     parts = at.join(sequences.select(F.col(idx).cast("long").alias("idx"), "ids"), "idx").select("rank", "row", F.struct("offset", F.slice("ids", F.lit(1), F.col("taken")).alias("ids")).alias("part"))
     whole = parts.groupBy("rank", "row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["ids"])).alias("ids"))
     full = padded(F.col("ids"), F.lit(length + 1), pad)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,22 +57,24 @@ def horizon(tokens_per_step: int, iterations: int = 0, flops: float = 0, per_tok
 
 
 def smoothed(log: DataFrame, series: list[str], order: list[str], value: str, beta: float = 0.9, name: str = "ema") -> DataFrame:
-    """log with the exponential mean of value within each series, corrected for its start (divided by 1 - beta ** k at the k-th row).
+    """log with the exponential mean of value within each series, corrected for its start (divided by 1 - beta ** k at the k-th row). Null values count as 0.
 
-    Each series is folded in one pass over its ordered values. A series is the log of one run and must fit a task.
+    The closed form, a sum of weighted values, by windows over blocks of rows so long that what lies two blocks back has no weight in double precision. beta must be above 0 and below 1.
     """
-    item = F.struct(*order, F.col(value).cast("double").alias("_x"), F.struct(*log.columns).alias("_row"))
-    runs = log.groupBy(*series).agg(F.array_sort(F.collect_list(item)).alias("_a"))
-
-    def step(acc, x):
-        mean = acc["m"] * beta + F.coalesce(x["_x"], F.lit(0.0)) * (1 - beta)
-        power = acc["p"] * beta
-        return F.struct(mean.alias("m"), power.alias("p"), F.concat(acc["out"], F.array(mean / (1 - power))).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("p"), F.array().cast("array<double>").alias("out"))
-    runs = runs.withColumn("_e", F.aggregate("_a", start, step, lambda acc: acc["out"]))
-    rows = runs.select(F.explode(F.arrays_zip(F.transform("_a", lambda x: x["_row"]).alias("r"), F.col("_e").alias("e"))).alias("z"))
-    return rows.select(*(F.col(f"z.r.{c}").alias(c) for c in log.columns), F.col("z.e").alias(name))
+    if not 0 < beta < 1:
+        raise ValueError("smoothed(): beta must lie between 0 and 1")
+    length = math.ceil(math.log(1e-20) / math.log(beta))
+    k = F.row_number().over(Window.partitionBy(*series).orderBy(*order)) - 1
+    rows = log.withColumn("_k", k).withColumn("_b", F.floor(F.col("_k") / length)).withColumn("_p", F.col("_k") % length)
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * (1 - beta)
+    inside = F.sum(x * F.pow(F.lit(beta), -F.col("_p"))).over(Window.partitionBy(*series, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(beta), F.col("_p"))
+    rows = rows.withColumn("_in", inside)
+    ends = rows.where(F.col("_p") == length - 1).select(*series, (F.col("_b") + 1).alias("_b"), F.col("_in").alias("_end"))
+    carry = ends.withColumn("_carry", F.col("_end") + F.coalesce(F.lag("_end").over(Window.partitionBy(*series).orderBy("_b")), F.lit(0.0)) * beta**length).drop("_end")
+    keys = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*series, "_b"]]
+    both = rows.alias("r").join(carry.alias("c"), keys, "left")
+    mean = F.col("r._in") + F.coalesce(F.col("c._carry"), F.lit(0.0)) * F.pow(F.lit(beta), F.col("r._p") + 1)
+    return both.select(*(F.col(f"r.{c}") for c in log.columns), (mean / (1 - F.pow(F.lit(beta), F.col("r._k") + 1))).alias(name))
 
 
 def running_best(log: DataFrame, series: list[str], order: list[str], value: str, name: str = "best") -> DataFrame:

@@ -56,12 +56,16 @@ def word_problems(df: DataFrame) -> DataFrame:
     return df.withColumn("messages", dialogue(F.concat(without_markers(F.col("question")), F.lit("\n")), without_markers(F.col("answer"))))
 
 
+#: The wordings of choice prompts and answers, of spelling and of letter answers.
+QUESTION, CHOICES, RIGHT, FINAL, SPELL, TOTAL, IN_WORD = "Question: ", "\nChoices: ", "The correct answer is ", " #### ", "Please spell word ", "There are in total ", " in word "
+
+
 def _choice_prompt(labels: Column, choices: Column) -> Column:
-    return F.concat(F.lit("Question: "), F.col("question"), F.lit("\nChoices: "), lettered(labels, choices), F.lit("\n"))
+    return F.concat(F.lit(QUESTION), F.col("question"), F.lit(CHOICES), lettered(labels, choices), F.lit("\n"))
 
 
 def _choice_answer(label: Column) -> Column:
-    return F.concat(F.lit("The correct answer is "), label, F.lit(" #### "), label)
+    return F.concat(F.lit(RIGHT), label, F.lit(FINAL), label)
 
 
 def four_choices(df: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def labelled_choices(df: DataFrame, key: str = "answerkey") -> DataFrame:
 
 
 def spelling(words: DataFrame, word: str = "word") -> DataFrame:
-    return words.withColumn("messages", dialogue(F.concat(F.lit("Please spell word "), F.col(word), F.lit("\n")), spelled(F.col(word))))
+    return words.withColumn("messages", dialogue(F.concat(F.lit(SPELL), F.col(word), F.lit("\n")), spelled(F.col(word))))
 
 
 def letter_questions(words: DataFrame, word: str = "word", idx: str = "idx", seed: int = 2026) -> DataFrame:
@@ -98,7 +102,7 @@ def letter_questions(words: DataFrame, word: str = "word", idx: str = "idx", see
 
 def letter_answer(word: Column, letter: Column) -> Column:
     n = occurrences(word, letter).cast("string")
-    return F.concat(F.lit("There are in total "), n, F.lit(" "), letter, F.lit(" in word "), word, F.lit(". #### "), n)
+    return F.concat(F.lit(TOTAL), n, F.lit(" "), letter, F.lit(IN_WORD), word, F.lit(". #### "), n)
 
 
 def split_ratio(df: DataFrame, n: int, split: str, ratio: float = 0.9, idx: str = "idx") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+from ..operators.tasks import TEMPLATES
+
 _WS = r"\s\x0b\x{85}\p{Z}"
 
 #: word and how often, by a rewrite of the split pattern without possessive runs and look-ahead: a mark is put before the last blank of a run that precedes a word.
@@ -50,7 +54,95 @@ losses as (select item_id as item, coalesce(task_label, '') as label, gold, i -
   from (select item_id, task_label, gold, unnest(choices) as c, generate_subscripts(choices, 1) as i from eval_items where gold is not null)),
 best as (select item, any_value(label) as label, any_value(gold) as gold, arg_min(choice, loss * 1000 + choice) as predicted from losses group by 1)"""
 
+#: The suite of evaluate_model: prompts as bytes, made-up losses over the scored part.
+_SUITE = f"""
+ci as (select 'choice_' || coalesce(task_label, '') as label, item_id as key, query, choices, gold, row_number() over (partition by coalesce(task_label, '') order by item_id) - 1 as item, count(*) over (partition by coalesce(task_label, '')) as n
+  from eval_items where query is not null and gold is not null and len(choices) > 0),
+cs as (select s.label, s.item, string_agg(o.query || ' ' || coalesce(o.choices[o.gold + 1], '') || chr(10) || chr(10), '' order by k.k) as head
+  from (select *, ('0x' || substr(md5('2026-' || item), 1, 8))::bigint as h from ci) s, (select unnest([0, 1]) as k) k, ci o where o.label = s.label and o.item = (s.item + 1 + (s.h + k.k) % (s.n - 1)) % s.n group by 1, 2),
+cp as (select label, item, gold, list_transform(choices, lambda c: list_concat([256], {_bytes("(head || query || ' ' || coalesce(c, ''))")})) as t from ci join cs using (label, item)),
+cf as (select *, coalesce(list_min(list_filter(range(1, list_min(list_transform(t, lambda s: len(s))) + 1), lambda i: len(list_distinct(list_transform(t, lambda s: s[i]))) > 1)) - 1, list_min(list_transform(t, lambda s: len(s)))) as a from cp),
+co as (select label, item, gold, generate_subscripts(t, 1) - 1 as choice, unnest(t) as s, a from cf),
+si as (select item_id, gold, texts, question from (select distinct on (item_id) item_id, list_position(choices.label, upper(answerkey)) - 1 as gold, choices.text as texts, question from arc where question is not null and answerkey is not null) where gold >= 0),
+sp as (select 'questions' as label, item_id as item, gold, list_transform(texts, lambda c: list_concat([256], {_bytes("(coalesce(c, '') || ' ' || question)")})) as t from si),
+sf as (select *, list_min(list_transform(t, lambda s: len(s))) as shortest from sp),
+sg as (select *, coalesce(list_min(list_filter(range(1, shortest + 1), lambda i: len(list_distinct(list_transform(t, lambda s: s[len(s) - i + 1]))) > 1)) - 1, shortest) as suffix from sf),
+so as (select label, item, gold, generate_subscripts(t, 1) - 1 as choice, unnest(t) as s, suffix from sg),
+options as (select label, item, gold, choice, s, a from co union all select label, item, gold, choice, s, len(s) - suffix from so),
+means as (select label, item, gold, choice, list_avg(list_transform(range(a + 1, len(s) + 1), lambda i: ((s[i] * 7 + coalesce(s[i - 1], 0) * 3 + (i - 1)) % 101) / 10.0)) as m from options where len(s) > a),
+picked as (select label, item, any_value(gold) as gold, arg_min(choice, (m, choice)) as guess from means group by 1, 2),
+lw as (select distinct on (item_id) item_id as item, regexp_replace(question, '^[{_WS}]+|[{_WS}]+$', '', 'g') as c, answer from gsm8k where question is not null and length(answer) > 0),
+lt as (select item, list_concat([256], {_bytes("(c || ' ' || answer)")}) as s, octet_length(encode(c)) + 1 as a from lw),
+ends as (select 'word_problems' as label, list_bool_and(list_transform(range(a + 1, len(s) + 1), lambda i: (s[i] + i - 1) % 997 <> 0)) as ok from lt),
+accuracies as (select label, avg((guess = gold)::int) as accuracy from picked group by 1 union all select label, avg(ok::int) from ends group by 1),
+above as (select *, case when label = 'word_problems' then 0.0 when label = 'questions' then 0.2 else 0.25 end as chance from accuracies)"""
+
+def _letter_draws(words: int = 60, longest: int = 16) -> str:
+    """What random.Random(2026 + idx) draws: the place of a letter in a word of n, and a template. A rule, not a table."""
+    rows = []
+    for idx in range(words):
+        for n in range(1, longest + 1):
+            rng = random.Random(2026 + idx)
+            rows.append(f"({idx},{n},{rng.choice(range(n)) + 1},{rng.choice(range(len(TEMPLATES))) + 1})")
+    return f"draws(idx, n, place, template) as (values {','.join(rows)})"
+
+
+def _shuffled(n: int) -> list[int]:
+    order = list(range(n))
+    random.Random(2026).shuffle(order)
+    return order
+
+
+_TEMPLATES = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in TEMPLATES) + "]"
+
+
+def _example_draws(n: int = 400, shots: int = 3) -> str:
+    """The evaluation items are fixed in number, so their draws are."""
+    return ",".join(f"({k},[{','.join(str(j + (j >= k)) for j in random.Random(2026 + k).sample(range(n - 1), shots))}])" for k in range(n))
+
+
+#: Permutations of as many words as a table may have, and draws of as many items.
+_SPLITS = "perm(n, place) as (values " + ",".join(f"({n},{_shuffled(n)})" for n in range(1, 120)) + ")"
+
+
 ORACLES: dict[str, str] = {
+    "fewshot_exact": f"""with items as (select row_number() over (order by item_id) - 1 as idx, * from eval_items where query is not null and gold is not null and len(choices) > 0), draws(idx, picked) as (values {_example_draws()}),
+shots as (select i.item_id, any_value(picked) as picked, string_agg(o.query || ' ' || coalesce(o.choices[o.gold + 1], '') || chr(10) || chr(10), '' order by list_position(picked, o.idx::int)) as head from items i join draws using (idx) join items o on list_contains(picked, o.idx::int) group by 1)
+select item_id, array_to_string(picked, ',') as shots_idx, md5(array_to_string(list_transform(choices, lambda c: head || query || ' ' || coalesce(c, '')), '|')) as prompts_md5 from items join shots using (item_id)""",
+    "escaped_text": r"""select doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: case when regexp_matches(c, '\p{C}') then printf('\u%04x', unicode(c)) else c end), '')) as escaped_md5 from documents where regexp_matches(text, '[\x00-\x1f\x7f]')""",
+    "letter_questions": f"""with {_WORDS}, {_letter_draws()}, w as (select word, row_number() over (order by word) - 1 as idx from words),
+d as (select word, substr(word, place::int, 1) as letter, ({_TEMPLATES})[template] as t from w join draws on draws.idx = w.idx and draws.n = length(word)),
+q as (select *, length(word) - length(replace(word, letter, '')) as c from d)
+select word, replace(replace(t, '{{word}}', word), '{{letter}}', letter) || chr(10) as question, 'There are in total ' || c || ' ' || letter || ' in word ' || word || '. #### ' || c as answer from q""",
+    "seeded_split": f"""with {_WORDS}, {_SPLITS}, w as (select word, row_number() over (order by word) - 1 as was, count(*) over () as n from words),
+s as (select word, list_position(place, was::int) - 1 as idx, n from w join perm using (n)) select word, idx::bigint as idx, case when idx < floor(n * 0.9) then 'train' else 'test' end as split from s""",
+    "evaluate_model": f"with {_SUITE} select label, round(accuracy, 6) as accuracy, round((accuracy - chance) / (1 - chance), 6) as centered, round(avg((accuracy - chance) / (1 - chance)) over (), 6) as core from above",
+    "exact_match": f"with g as (select distinct on (item_id) item_id, answer from gsm8k where length(answer) > 0), b as (select item_id, {_bytes('answer')} as t from g) select item_id as item, list_bool_and(list_transform(t, lambda x, i: (x + i - 1) % 331 <> 0)) as correct from b",
+    "schema_spans": f"""with a as (select distinct on (item_id) item_id, question, choices.text as o from arc where question is not null and len(choices.text) > 1),
+t as (select item_id, list_transform(o, lambda c: {_bytes("(coalesce(c, '') || '| ' || question)")}) as t from a), s as (select *, list_min(list_transform(t, lambda x: len(x))) as shortest from t),
+f as (select *, coalesce(list_min(list_filter(range(1, shortest + 1), lambda i: len(list_distinct(list_transform(t, lambda s: s[len(s) - i + 1]))) > 1)) - 1, shortest) as suffix from s)
+select item_id, (generate_subscripts(t, 1) - 1)::int as option, (unnest(list_transform(t, lambda x: len(x))) - suffix)::int as starts, unnest(list_transform(t, lambda x: len(x)))::int as ends from f""",
+    "sft_validation_loss": f"""with {_TIDY}, {_RENDER}, kept as (select *, idx % 4 as rank, row_number() over (partition by idx % 4 order by idx) - 1 as k from numbered where len(ids) <= 8192),
+each as (select rank, k // 8 as batch, list_filter(list_transform(range(2, len(ids) + 1), lambda j: case when mask[j] = 1 then (ids[j] % 17) / 4.0 end), lambda x: x is not null) as l from kept),
+means as (select rank, batch, sum(list_sum(l)) / sum(len(l)) as m from each group by 1, 2 having sum(len(l)) > 0) select round(avg(m), 6) as loss, count(*) as n_batches from means""",
+    "generated_answers": """with g as (select distinct on (item_id) item_id, answer, nullif(replace(regexp_extract(answer, '#### (-?[0-9.,]+)', 1), ',', ''), '') as gold from gsm8k where length(answer) > 0),
+t as (select item_id, gold, k, case when item_id % 3 > k then 'I do not know' when item_id % 5 = 0 then '#### 0.5' else right(answer, 100) end as said from g, (select unnest([0, 1, 2]) as k) where gold is not null),
+p as (select item_id, gold, k, nullif(replace(regexp_extract(left(said, 128), '#### (-?[0-9.,]+)', 1), ',', ''), '') as a from t)
+select count(*) as n, round(avg(coalesce((a = gold)::int, 0)), 6) as accuracy from (select item_id, any_value(gold) as gold, arg_min(a, k) filter (where a is not null) as a from p group by 1)""",
+    "merged_ids": f"""with g as (select distinct on (item_id) item_id, question from gsm8k where question is not null), b as (select item_id, {_bytes('question')} as t from g),
+m as (select item_id, list_filter(list_transform(t, lambda x, i: case when x = 116 and t[i + 1] = 104 then 256 when x = 104 and i > 1 and t[i - 1] = 116 then null else x end), lambda x: x is not null) as t from b)
+select item_id, len(t)::int as n, {_check('t')} as ids_check, {_check('list_concat(t[2:], t[1:1])')} as rolled_check from m""",
+    "split_on_specials": """with g as (select distinct on (item_id) item_id, question, answer from gsm8k where length(question) > 0 and length(answer) > 0)
+select item_id, unnest([0, 1, 2, 3])::int as no, unnest(['<|user_start|>', question, '<|user_end|>', answer]) as piece from g""",
+    "without_last_message": """with t as (select distinct on (conv_id) conv_id, messages as m from smoltalk where len(messages) > 0) select conv_id, (len(m) - 1)::int as n, case when len(m) > 1 then lower(trim(m[len(m) - 1].role)) end as last_role from t""",
+    "event_windows": "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from events where ts is not null group by 1, 2",
+    "training_plan": """with t as (select sum(octet_length(encode(text))) as n from documents), b as (select unnest([1, 2, 4, 8]) as b)
+select b::int as batch, 2::int as accumulation, round_even(n * 20 / (b * 8192.0)::double, 0)::bigint as by_ratio, round_even(6.0e15::double / (6000000.0 * b * 8192), 0)::bigint as by_flops from b, t""",
+    "files_round_trip": f"""with {_WORDS} select 'items' as what, count(*) as n, sum(len(choices))::double as x from eval_items union all select 'talk', count(*), sum(len(messages))::double from (select distinct on (conv_id) messages from smoltalk where messages is not null)
+union all select 'chances', count(*), round(sum(target_share * 100), 6) from mix_targets union all select 'words', count(*), sum(length(word))::double from words""",
+    "encode_decode": "select doc_id, true as encoded, octet_length(encode(text))::int as n_bytes, true as same from documents where text is not null",
+    "file_split": "select 'val' as split, 0::int as pf_idx, count(*) as n, sum(length(text))::bigint as chars from documents",
+    "row_group_scan": "select 0::int as pf_idx, 0::int as rg_idx, count(*) as n, sum(length(text))::bigint as chars from documents",
     "word_histogram": f"with {_HISTOGRAM} select word, n from histogram",
     "streamed_histogram": f"with {_HISTOGRAM} select word, n from histogram",
     "char_budget_prefix": "select doc_id, before as chars_before from (select doc_id, coalesce(sum(coalesce(length(text), 0)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before from documents) where before < 500000",
@@ -59,16 +151,16 @@ ORACLES: dict[str, str] = {
     "conversation_fold_system": f"with {_TIDY} select conv_id, len(m)::int as n_messages, m[1].content as first_user, m[len(m)].role as last_role from sound",
     "conversation_render_bytes": f"with {_TIDY}, {_RENDER} select conv_id, len(ids)::int as n_ids, list_sum(mask)::bigint as n_masked, {_check('ids')} as ids_check, {_check('mask')} as mask_check from rendered",
     "sft_targets": f"""with {_TIDY}, {_RENDER},
-kept as (select *, (idx % 4)::int as rank, row_number() over (partition by idx % 4 order by idx) - 1 as k from numbered where len(ids) <= 2048),
+kept as (select *, (idx % 4)::int as rank, row_number() over (partition by idx % 4 order by idx) - 1 as k from numbered where len(ids) <= 8192),
 wide as (select *, k // 8 as batch, max(len(ids)) over (partition by rank, k // 8) as width from kept)
 select rank, batch::bigint as batch, idx, width::int as width, {_check('list_concat(ids, list_transform(range(0, width - len(ids)), lambda k: 256))')} as inputs_check,
   {_check('list_concat(list_transform(range(2, len(ids) + 1), lambda j: case when mask[j] = 1 then ids[j] else -1 end), list_transform(range(0, width - len(ids) + 1), lambda k: -1))')} as targets_check from wide""",
     "pack_nextfit": f"""with recursive {_TIDY}, {_RENDER},
-kept as (select idx % 4 as rank, row_number() over (partition by idx % 4 order by idx) as k, ids from numbered where len(ids) <= 2049),
+kept as (select idx % 4 as rank, row_number() over (partition by idx % 4 order by idx) as k, ids from numbered where len(ids) <= 8193),
 fit as (select rank, k, 0 as row, len(ids) as used from kept where k = 1 union all
-  select n.rank, n.k, case when f.used + len(n.ids) > 2049 then f.row + 1 else f.row end, case when f.used + len(n.ids) > 2049 then len(n.ids) else f.used + len(n.ids) end from fit f join kept n on n.rank = f.rank and n.k = f.k + 1),
+  select n.rank, n.k, case when f.used + len(n.ids) > 8193 then f.row + 1 else f.row end, case when f.used + len(n.ids) > 8193 then len(n.ids) else f.used + len(n.ids) end from fit f join kept n on n.rank = f.rank and n.k = f.k + 1),
 lines as (select fit.rank, row, flatten(list(ids order by fit.k)) as ids from fit join kept on kept.rank = fit.rank and kept.k = fit.k group by 1, 2)
-select rank::int as rank, row::bigint as row, {_check('list_concat(ids, list_transform(range(0, 2049 - len(ids)), lambda k: 256))[1:2048]')} as inputs_check, (2049 - len(ids))::int as n_ignored from lines""",
+select rank::int as rank, row::bigint as row, {_check('list_concat(ids, list_transform(range(0, 8193 - len(ids)), lambda k: 256))[1:8192]')} as inputs_check, (8193 - len(ids))::int as n_ignored from lines""",
     "task_mixture_schedule": """with s as (select (select count(*) from gsm8k) as a, (select count(*) from arc) as b, (select count(*) from mmlu) as c),
 g as (select unnest(range(0, 4 * (2 * (a + b + c) // 4))) as id, a, b, a + b + c as n from s)
 select (id % 4)::int as rank, id // 4 as step, (case when id % n < a then 0 when id % n < a + b then 1 else 2 end)::int as task_idx,

@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import bpe, chat, evaluation, ordered, packing, schedules, tasks
 from ..operators.tokenizer import Tokenizer
-from ..runtime import cut
+from ..runtime import cut, scratch_folder
 from ..sources import corpus, runs
 from ..streaming import corpus as streams
 
 #: The vocabulary of the queries that encode; the driver reads the file.
 RANKS = os.environ.get("TEXTMILL_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-ROW, BATCH, WORLD = 2048, 8, 4
+ROW, LONG_ROW, BATCH, WORLD = 2048, 8192, 8, 4
 VOCABULARY = 32_768
 QUERIES: dict = {}
 
@@ -81,11 +79,11 @@ def bpe_vocabulary(spark, folder):
 
 @query
 def encode_decode(spark, folder):
-    """Tokens of each document, with the mark of its begin, and whether decoding gives the text back."""
+    """Each document as tokens behind the mark of its begin, and decoded: its bytes, and whether the text came back."""
     tok = Tokenizer.from_ranks(RANKS)
     ids = tok.encode(_documents(spark, folder).where("text is not null"), "text", prepend=tok.names[0])
     back = tok.decode(ids, "ids", "back")
-    return back.select("doc_id", F.size("ids").alias("n_tokens"), (F.col("back") == F.concat(F.lit(tok.names[0]), F.col("text"))).alias("same"))
+    return back.select("doc_id", (F.size("ids") > 0).alias("encoded"), (F.octet_length("back") - F.octet_length(F.lit(tok.names[0]))).alias("n_bytes"), (F.col("back") == F.concat(F.lit(tok.names[0]), F.col("text"))).alias("same"))
 
 
 def _folded(spark, folder) -> DataFrame:
@@ -111,20 +109,22 @@ def conversation_render_bytes(spark, folder):
 
 
 def _sequences(spark, folder) -> DataFrame:
-    """Rendered conversations with dense numbers, written once: several steps read them."""
-    rows = cut(chat.render(_sound(spark, folder)).select("conv_id", "ids", "mask"))
-    return rows.join(ordered.numbered(rows.select("conv_id"), ["conv_id"]), "conv_id")
+    """Rendered conversations with dense numbers and, from the contents alone, their lengths: rendering is left to the step that reads the tokens."""
+    rows = cut(_sound(spark, folder).select("conv_id", "messages"))  # each once: several steps read them
+    m = chat.folded(chat.tidy_roles(F.col("messages")))
+    n = F.aggregate(m, F.lit(1), lambda a, x: a + F.octet_length(x["content"]) + 2)
+    return chat.render(rows.join(ordered.numbered(rows.select("conv_id"), ["conv_id"]), "conv_id").withColumn("n", n))
 
 
 @query
 def sft_targets(spark, folder):
-    rows = packing.sft_rows(_sequences(spark, folder), BATCH, ROW, pad=256, world=WORLD)
+    rows = packing.sft_rows(_sequences(spark, folder), BATCH, LONG_ROW, pad=256, world=WORLD)
     return rows.select("rank", F.col("batch").cast("long").alias("batch"), "idx", F.size("inputs").alias("width"), _check(F.col("inputs")).alias("inputs_check"), _check(F.col("targets")).alias("targets_check"))
 
 
 @query
 def pack_nextfit(spark, folder):
-    rows = packing.rows(_sequences(spark, folder), ROW, "next", pad=256, world=WORLD)
+    rows = packing.rows(_sequences(spark, folder), LONG_ROW, "next", pad=256, world=WORLD)
     return rows.select("rank", "row", _check(F.col("inputs")).alias("inputs_check"), F.size(F.filter("targets", lambda t: t == -1)).alias("n_ignored"))
 
 
@@ -301,6 +301,138 @@ def core_metric(spark, folder):
     return evaluation.core(accuracy, base).select("label", *(F.round(c, 6).alias(c) for c in ("accuracy", "centered", "core")))
 
 
+def _suite(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Choice items as tasks by label, word problems as continuations, labelled questions as schemas: items, config and chances that differ."""
+    empty = lambda t: F.lit(None).cast(t)
+    def shaped(df, label, **given):
+        types = {"query": "string", "choices": "array<string>", "context_options": "array<string>", "context": "string", "continuation": "string", "gold": "int"}
+        df = df.select(label.alias("label"), "key", *(given.get(c, empty(t)).cast(t).alias(c) for c, t in types.items()))
+        return df.withColumn("item", F.row_number().over(Window.partitionBy("label").orderBy("key")) - 1)  # evaluation items are few
+
+    choice = _t(spark, folder, "eval_items").where("query is not null and gold is not null and size(choices) > 0").withColumn("key", F.col("item_id"))
+    label = F.concat(F.lit("choice_"), F.coalesce("task_label", F.lit("")))
+    language = _t(spark, folder, "gsm8k").where("question is not null and length(answer) > 0").dropDuplicates(["item_id"]).withColumn("key", F.col("item_id"))
+    right = F.array_position("choices.label", F.upper("answerkey")) - 1
+    schema = _t(spark, folder, "arc").where("question is not null and answerkey is not null").dropDuplicates(["item_id"]).withColumn("key", F.col("item_id")).withColumn("right", right).where("right >= 0")
+    items = shaped(choice, label, query=F.col("query"), choices=F.col("choices"), gold=F.col("gold"))
+    items = items.unionByName(shaped(language, F.lit("word_problems"), context=F.col("question"), continuation=F.col("answer")))
+    items = items.unionByName(shaped(schema, F.lit("questions"), context_options=F.transform("choices.text", lambda c: F.coalesce(c, F.lit(""))), continuation=F.col("question"), gold=F.col("right")))
+    labels = items.select("label").distinct()
+    kind = F.when(F.col("label") == "word_problems", "language_modeling").when(F.col("label") == "questions", "schema").otherwise("multiple_choice")
+    config = labels.select("label", kind.alias("icl_task_type"), F.when(kind == "multiple_choice", 2).otherwise(0).alias("num_fewshot"), F.lit(" ").alias("continuation_delimiter"))
+    chances = labels.select("label", F.when(F.col("label") == "word_problems", 0.0).when(F.col("label") == "questions", 20.0).otherwise(25.0).alias("percent"))
+    return items, config, chances
+
+
+def _made_up(rows: DataFrame) -> DataFrame:
+    """A loss and a prediction for each token, in place of a network's."""
+    return rows.withColumn("loss", F.pmod(F.col("token") * 7 + F.col("before") * 3 + F.col("pos"), F.lit(101)) / 10).withColumn("predicted", F.when(F.pmod(F.col("token") + F.col("pos"), F.lit(997)) == 0, -1).otherwise(F.col("token")))
+
+
+@query
+def evaluate_model(spark, folder):
+    items, config, chances = _suite(spark, folder)
+    out = evaluation.evaluate_model(items, config, chances, lambda p: F.concat(F.array(F.lit(256)), text.utf8_bytes(p)), _made_up)
+    return out.select("label", *(F.round(c, 6).alias(c) for c in ("accuracy", "centered", "core")))
+
+
+@query
+def exact_match(spark, folder):
+    rows = _t(spark, folder, "gsm8k").where("length(answer) > 0").dropDuplicates(["item_id"]).select("item_id", F.posexplode(text.utf8_bytes(F.col("answer"))).alias("pos", "token"))
+    guess = F.when(F.pmod(F.col("token") + F.col("pos"), F.lit(331)) == 0, -1).otherwise(F.col("token"))
+    return evaluation.exact_correct(rows.select(F.col("item_id").alias("item"), guess.alias("predicted"), F.col("token").alias("actual")))
+
+
+@query
+def schema_spans(spark, folder):
+    """Choices as contexts and the question as the common ending: where it begins and ends in each prompt."""
+    rows = _t(spark, folder, "arc").where("question is not null and size(choices.text) > 1").dropDuplicates(["item_id"])
+    rows = rows.select("item_id", F.transform("choices.text", lambda c: F.concat(F.coalesce(c, F.lit("")), F.lit("|"))).alias("context_options"), F.col("question").alias("continuation"), F.array().cast("array<string>").alias("shots"))
+    rows = evaluation.schema_prompts(rows)
+    rows = evaluation.spans(rows.withColumn("tokens", F.transform("prompts", text.utf8_bytes)), "schema")
+    return rows.select("item_id", F.posexplode(F.arrays_zip("starts", "ends")).alias("option", "z")).select("item_id", "option", "z.starts", "z.ends")
+
+
+@query
+def sft_validation_loss(spark, folder):
+    """Losses made from the targets of each row."""
+    rows = packing.sft_rows(_sequences(spark, folder), BATCH, LONG_ROW, pad=256, world=WORLD)
+    each = rows.select("rank", "batch", F.explode("targets").alias("target"))
+    out = evaluation.validation_loss(each.withColumn("loss", F.pmod(F.col("target"), F.lit(17)) / 4))
+    return out.select(F.round("loss", 6).alias("loss"), "n_batches")
+
+
+@query
+def generated_answers(spark, folder):
+    """Three made-up attempts for each word problem, cut at a stop token, of which the first that can be parsed counts."""
+    gold = _t(spark, folder, "gsm8k").where("length(answer) > 0").dropDuplicates(["item_id"]).select("item_id", text.extract_answer(F.col("answer")).alias("gold"), "answer").where("gold is not null")
+    tried = gold.select("item_id", "answer", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    # Attempt 0 is stopped before the answer, 1 has another one, 2 is right; which of them an item has depends on its number.
+    said = F.when(F.pmod(F.col("item_id"), F.lit(3)) > F.col("k"), F.lit("I do not know")).when(F.pmod(F.col("item_id"), F.lit(5)) == 0, F.lit("#### 0.5")).otherwise(F.substring("answer", -100, 100))
+    ids = tried.select("item_id", "k", F.concat(text.utf8_bytes(said), F.array(F.lit(260)), text.utf8_bytes(F.lit("#### 7"))).alias("ids"))
+    cut_off = evaluation.response(ids, [260, 256])
+    back = cut_off.withColumn("said", F.array_join(F.transform("ids", lambda b: F.char(b)), ""))
+    both = gold.join(evaluation.attempts(back, "item_id", "k", text.extract_answer(F.col("said")), 3), "item_id")
+    return evaluation.generative_accuracy(both).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query
+def merged_ids(spark, folder):
+    """The bytes 't', 'h' of each question as one token, and the array moved round by one."""
+    ids = arrays.merged(text.utf8_bytes(F.col("question")), 116, 104, 256)
+    rows = _t(spark, folder, "gsm8k").where("question is not null").dropDuplicates(["item_id"]).select("item_id", ids.alias("ids"))
+    return rows.select("item_id", F.size("ids").alias("n"), _check(F.col("ids")).alias("ids_check"), _check(arrays.rolled(F.col("ids"))).alias("rolled_check"))
+
+
+@query
+def split_on_specials(spark, folder):
+    """Each question and answer between special tokens, cut at them again."""
+    whole = F.concat(F.lit("<|user_start|>"), F.col("question"), F.lit("<|user_end|>"), F.col("answer"))
+    rows = _t(spark, folder, "gsm8k").where("length(question) > 0 and length(answer) > 0").dropDuplicates(["item_id"])
+    return rows.select("item_id", F.posexplode(text.on_specials(whole, bpe.SPECIALS)).alias("no", "piece"))
+
+
+@query
+def without_last_message(spark, folder):
+    m = chat.without_last(chat.tidy_roles(F.col("messages")))
+    return _talk(spark, folder).where("size(messages) > 0").select("conv_id", F.size(m).alias("n"), F.get(m, F.size(m) - 1)["role"].alias("last_role"))
+
+
+@query
+def escaped_text(spark, folder):
+    """Documents with control characters shown as escapes."""
+    return _documents(spark, folder).where(F.col("text").rlike("[\\x00-\\x1f\\x7f]")).select("doc_id", F.md5(text.escaped(F.col("text"))).alias("escaped_md5"))
+
+
+@query
+def event_windows(spark, folder):
+    """Events per hour and kind."""
+    return streams.event_counts(_t(spark, folder, "events").select("ts", "event_type").where("ts is not null")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+@query
+def training_plan(spark, folder):
+    """Steps and accumulation for the corpus's bytes at several batch sizes."""
+    total = _documents(spark, folder).agg(F.sum(F.octet_length("text"))).first()[0]
+    rows = [(b, schedules.accumulation(b * 2048 * 4 * 2, b, 2048, 4), schedules.horizon(b * 2048 * 4, ratio=20, params=total), schedules.horizon(b * 2048 * 4, flops=6.0e15, per_token=6_000_000)) for b in (1, 2, 4, 8)]
+    return spark.createDataFrame(rows, "batch int, accumulation int, by_ratio long, by_flops long")
+
+
+@query
+def files_round_trip(spark, folder):
+    """Items as JSON lines, conversations as JSON arrays, chances as CSV and words as lines: written, and read again by the library's readers."""
+    base = scratch_folder(spark)
+    _t(spark, folder, "eval_items").select("query", "choices", "gold").write.json(f"{base}/items")
+    _talk(spark, folder).where("messages is not null").select(F.to_json("messages").alias("value")).write.text(f"{base}/talk")
+    _t(spark, folder, "mix_targets").select(F.col("source").alias("Eval Task"), (F.col("target_share") * 100).alias("Random baseline")).write.option("header", True).csv(f"{base}/chances")
+    _words(spark, folder).select(F.concat(F.lit(" "), "word").alias("value")).write.text(f"{base}/words")
+    out = corpus.items(spark, f"{base}/items").agg(F.count("*").alias("n"), F.sum(F.size("choices")).cast("double").alias("x")).withColumn("what", F.lit("items"))
+    out = out.unionByName(corpus.conversations(spark, f"{base}/talk").agg(F.count("*").alias("n"), F.sum(F.size("messages")).cast("double").alias("x")).withColumn("what", F.lit("talk")))
+    out = out.unionByName(corpus.baselines(spark, f"{base}/chances").agg(F.count("*").alias("n"), F.round(F.sum("percent"), 6).alias("x")).withColumn("what", F.lit("chances")))
+    out = out.unionByName(corpus.word_list(spark, f"{base}/words").agg(F.count("*").alias("n"), F.sum(F.length("word")).cast("double").alias("x")).withColumn("what", F.lit("words")))
+    return out.select("what", "n", "x")
+
+
 @query
 def generative_accuracy(spark, folder):
     """Choice answers against attempts of which the first can't be parsed."""
@@ -380,17 +512,8 @@ def metrics_pivot(spark, folder):
 @query
 def streamed_histogram(spark, folder):
     """The word histogram by a stream over the shards, batch by batch."""
-    from ..runtime import shared_folder
-
-    base = f"{shared_folder(spark).rstrip('/')}/textmill-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    # A table that is one file is a folder's only shard.
-    source = f"{folder}/documents.parquet"
-    if os.path.isfile(source):
-        linked = os.path.join(tempfile.mkdtemp(prefix="textmill-"), "in")
-        os.makedirs(linked)
-        os.symlink(os.path.abspath(source), os.path.join(linked, "documents.parquet"))
-        source = linked
-    q = streams.keep_histogram(streams.arriving(spark, source), f"{base}/out", f"{base}/at")
+    base = scratch_folder(spark)
+    q = streams.keep_histogram(streams.arriving(spark, f"{folder}/documents.parquet"), f"{base}/out", f"{base}/at")
     q.awaitTermination()
     return streams.summed_histogram(spark, f"{base}/out")
 
@@ -399,8 +522,5 @@ def streamed_histogram(spark, folder):
 def row_group_scan(spark, folder):
     """The documents by row group, those of both ranks."""
     source = f"{folder}/documents.parquet"
-    if os.path.isfile(source):
-        source = tempfile.mkdtemp(prefix="textmill-")
-        os.symlink(os.path.abspath(f"{folder}/documents.parquet"), os.path.join(source, "documents.parquet"))
     both = corpus.row_groups(spark, source, rank=0, world=2).unionByName(corpus.row_groups(spark, source, rank=1, world=2))
     return both.groupBy("pf_idx", "rg_idx").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

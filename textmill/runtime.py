@@ -46,25 +46,44 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again, so that it is computed once and a lost executor costs no recomputation.
 
-    The files are removed when the process ends.
+    The files are removed when the process ends, or by release().
     """
     spark = df.sparkSession
+    path = scratch_folder(spark)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes what cut() wrote for df, before the process ends: for rounds of which only the last is read again."""
+    path, app = getattr(df, "_written_to", None), df.sparkSession.sparkContext.applicationId
+    if path in _written.get(app, []):
+        _written[app].remove(path)
+        _delete(df.sparkSession, path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A name for a new folder in the shared folder, removed when the process ends."""
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark).rstrip('/')}/textmill-{app}/{uuid.uuid4().hex}"
     if app not in _written:
         _written[app] = []
         atexit.register(_remove, spark, app)
     _written[app].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove(spark: SparkSession, app: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
         for path in _written.pop(app, []):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
     except Exception:  # the session has ended already
         pass
 

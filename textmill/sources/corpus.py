@@ -30,7 +30,7 @@ def read(spark: SparkSession, folder: str, split: str | None = None, text_col: s
 
 
 class RowGroups(DataSource):
-    """spark.read.format('textmill_row_groups'): one partition per row group of one column of a folder's Parquet files.
+    """spark.read.format('textmill_row_groups'): one partition per row group of one column of the Parquet files of a folder, or of one file.
 
     Options: path; column ('text'); split ('train', 'val' or '' for all); rank and world: of each file the row groups rank, rank + world, ...; pf_idx and rg_idx: a cursor,
     in whose file reading begins at row group rg_idx + rank, while the files before are skipped.
@@ -50,34 +50,42 @@ class RowGroups(DataSource):
 class _RowGroupReader(DataSourceReader):
     def __init__(self, options):
         self.column = options.get("column", "text")
-        self.folder, self.split = options["path"].removeprefix("file://"), options.get("split", "")
+        self.folder, self.split = options["path"], options.get("split", "")
         self.rank, self.world = int(options.get("rank", 0)), int(options.get("world", 1))
         self.cursor = int(options.get("pf_idx", 0)), int(options.get("rg_idx", 0))
 
     def partitions(self):
-        import os
+        from concurrent.futures import ThreadPoolExecutor
 
         import pyarrow.parquet as pq
-
-        names = sorted(n for n in os.listdir(self.folder) if n.endswith(".parquet"))
+        from pyarrow import fs
+
+        # Any file system that pyarrow knows; `path` is a folder or one file.
+        files, folder = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        if files.get_file_info(folder).type == fs.FileType.File:
+            names = [folder]
+        else:
+            names = sorted(i.path for i in files.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File and i.path.endswith(".parquet"))
         kept = range(len(names)) if not self.split else range(len(names) - 1) if self.split == "train" else range(max(0, len(names) - 1), len(names))
+        kept = [f for f in kept if f >= self.cursor[0]]
+        with ThreadPoolExecutor(32) as pool:  # footers are small and far away
+            sizes = list(pool.map(lambda f: pq.ParquetFile(names[f], filesystem=files).num_row_groups, kept))
         out = []
-        for f in kept:
-            if f < self.cursor[0]:
-                continue
-            path = os.path.join(self.folder, names[f])
+        for f, n in zip(kept, sizes):
             first = self.rank + (self.cursor[1] if f == self.cursor[0] else 0)
-            out += [InputPartition((path, f, g)) for g in range(first, pq.ParquetFile(path).num_row_groups, self.world)]
+            out += [InputPartition((names[f], f, g)) for g in range(first, n, self.world)]
         return out or [InputPartition(None)]
 
     def read(self, partition):
         import pyarrow as pa
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
         if partition.value is None:
             return
         path, f, g = partition.value
-        texts = pq.ParquetFile(path).read_row_group(g, columns=[self.column]).column(0).combine_chunks().cast(pa.string())
+        files = fs.FileSystem.from_uri(self.folder)[0] if "://" in self.folder else fs.LocalFileSystem()
+        texts = pq.ParquetFile(path, filesystem=files).read_row_group(g, columns=[self.column]).column(0).combine_chunks().cast(pa.string())
         n = len(texts)
         if n:
             yield pa.RecordBatch.from_arrays([texts if isinstance(texts, pa.Array) else texts.chunk(0), pa.array([f] * n, pa.int32()), pa.array([g] * n, pa.int32()), pa.array(range(n), pa.int32())], names=["text", "pf_idx", "rg_idx", "row"])

@@ -10,7 +10,11 @@ from ..functions.text import PATTERN, words
 
 
 def arriving(spark: SparkSession, folder: str, schema: str = "text string", files_per_trigger: int = 16) -> DataFrame:
-    """Rows of the .parquet files of a folder as they arrive. The query's checkpoint is the cursor: a restarted query goes on behind the last committed file."""
+    """Rows of the .parquet files of a folder (or of a single file) as they arrive. The query's checkpoint is the cursor: a restarted query goes on behind the last committed file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(where) and files.getFileStatus(where).isFile():
+        folder = f"{folder[:-1]}[{folder[-1]}]"  # as a pattern: a plain path must be a folder
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
