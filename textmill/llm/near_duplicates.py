@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, spread
+from ..runtime import cut, release, spread
 from .bitmaps import marked
 from .prefixes import ROUNDING, frequent, ordered_grams, prefix_length, salts
 from .words import Words, distinct, mix, set_digest, slices
@@ -227,7 +227,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """node, root: the lowest node of the connected component of every node in edges (a, b).
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014): each round is two shuffles, and the rounds grow with
-    the logarithm of a component's size. No component is gathered anywhere. Each round is cut from its lineage.
+    the logarithm of a component's size. No component is gathered anywhere. Each round is cut from its lineage, and the one before removed.
     """
     now = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
 
@@ -246,7 +246,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     last = sign(now)
     for _ in range(max_rounds):
-        now = cut(star(star(now, True), False))
+        before, now = now, cut(star(star(now, True), False))
+        release(before)
         seen = sign(now)
         if seen == last:
             break
