@@ -187,7 +187,8 @@ def candidates(sigs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     met = left.join(right, "band").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
     hotter = counted.where(F.col("c") > hot).select(F.col("rep").alias("_rep")).distinct()
     if not hotter.isEmpty():
-        texts = docs.join(hotter, F.col(id_col).cast("long") == F.col("_rep"), "left_semi").select(id_col, text_col).dropDuplicates([id_col])
+        texts = docs.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("_text"))
+        texts = marked(texts, ["_rep"], hotter).join(hotter, "_rep", "left_semi").dropDuplicates(["_rep"]).select(F.col("_rep").alias(id_col), F.col("_text").alias(text_col))
         met = met.unionByName(prefix_pairs(texts, id_col, text_col, words, threshold, min_words, sample, most)).distinct()
     left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("_sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("_sb"))
     return met.join(left, "a").join(right, "b").where(differing_values("_sa", "_sb") <= SIGNATURE - least_alike(threshold)).select("a", "b").distinct()
