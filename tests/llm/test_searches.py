@@ -85,10 +85,15 @@ def test_overlaps_find_every_pair_above_a_likely_edit_distance(spark):
     assert cross_split.overlaps(df.limit(0)).count() == 0
 
 
-def test_report_counts_by_split_and_source(spark):
-    pairs = spark.createDataFrame([("a", 1, 10), ("a", 2, 10)], "tab string, train_id long, held_id long")
-    records = spark.createDataFrame([("a", 10, "test", "s"), ("a", 10, "test", "s"), ("a", 1, "train", "s")], "tab string, id long, split string, source string")
-    assert [tuple(r) for r in cross_split.by_split_and_source(pairs, records).collect()] == [("a", "test", "s", 2, 1)]
+def test_report_and_classes_count_copies_without_making_pairs(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [("documents_a", 10, False, "test", "s", text), ("documents_a", 10, False, "test", "s", text), ("documents_a", 1, True, "train", "s", text), ("documents_a", 2, True, "train", "s", text.upper()), ("documents_b", 3, True, "train", "s", text), ("documents_b", 4, None, None, None, text), ("documents_b", 5, False, "test", None, None)]
+    records = spark.createDataFrame(rows, "tab string, id long, train boolean, split string, source string, text string")
+    how = {"words": 3, "threshold": 0.6, "min_words": 30}
+    # Tables whose names begin alike are told apart.
+    assert [tuple(r) for r in cross_split.report(records, **how).collect()] == [("documents_a", "test", "s", 2, 1)]
+    assert {tuple(r) for r in cross_split.classes(records, **how).distinct().collect()} == {("documents_a", i, 1, 1, 1.0) for i in (1, 2, 10)}
+    assert {(r.tab, r.train_id, r.held_id) for r in cross_split.overlaps(records, **how).collect()} == {("documents_a", 1, 10), ("documents_a", 2, 10)}
 
 
 def overlapping(spark, pairs):

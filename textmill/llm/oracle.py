@@ -60,6 +60,13 @@ parts as (select *, sum(fresh::int) over (partition by doc_id order by first, pa
 select v.field_name, row_id, turn, (list_max(list_transform(regexp_split_to_array(t, '{_SPACE}'), lambda x: length(x))) > max_size)::bigint as forced
 from v join size_limits s on s.field_name = v.field_name and s.purpose = 'split' where length(t) > max_size""",
     "p5_found": _OVERLAPS,
+    "p5_classes": f"""with r as (select 'smoltalk' as tab, conv_id as id, lower(trim(split)) = 'train' as train, t from {_TALK} {_SPLITS} union all select 'gsm8k', item_id, lower(trim(split)) = 'train', question from (select distinct on (item_id) * from gsm8k) {_SPLITS}),
+k as (select row_number() over () as id, tab, id as was, train, t from r), {_grams('k', 3, 30, 's')}, sets as (select id, list_sort(list(g)) as s from s group by id),
+node as (select k.id, tab, was, train, min(was) over (partition by tab, s) as class_id, min(k.id) over (partition by tab, s, train) as rep, len(s) as n from sets join k using (id)),
+p as (select a.id as h, b.id as t, count(*) as c from s a join node m on m.id = a.id and m.rep = a.id and not m.train join s b on a.g = b.g join node o on o.id = b.id and o.rep = b.id and o.train and o.tab = m.tab group by 1, 2),
+good as (select h, t, c::double / m.n as overlap from p join node m on m.id = h join node o on o.id = t where c >= 0.6 * (m.n + o.n - c)),
+side as (select h as rep, overlap from good union all select t, 1.0 from good), degree as (select rep, count(*) as n_links, max(overlap) as overlap from side group by 1)
+select tab, was as id, class_id, n_links, round(overlap, 6) as overlap from node join degree using (rep)""",
     "p5_report": f"""with p as ({_OVERLAPS}), about as (select 'smoltalk' as tab, conv_id as id, split, source from smoltalk union all select 'gsm8k', item_id, split, source from gsm8k),
 record as (select tab, id, min(lower(trim(split))) as split, min(replace(lower(trim(source)), '-', '_')) as source from about group by 1, 2),
 held as (select p.tab, r.split, r.source, r.id from p join record r on r.tab = p.tab and r.id in (p.id_a, p.id_b) and r.split <> 'train')

@@ -127,17 +127,20 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     return talk.unionByName(problems).withColumn("train", kind).withColumn("split", split).withColumn("source", tidy)
 
 
-def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    return cross_split.overlaps(_records(spark, folder).where("train is not null"), words=WORDS, threshold=LIKENESS, min_words=MIN_WORDS)
+HELD_OUT = {"words": WORDS, "threshold": LIKENESS, "min_words": MIN_WORDS}
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    ids = _overlaps(spark, folder)
+    ids = cross_split.overlaps(_records(spark, folder).where("train is not null"), **HELD_OUT)
     return ids.select("tab", F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
-    return cross_split.by_split_and_source(_overlaps(spark, folder), _records(spark, folder))
+    return cross_split.report(_records(spark, folder).where("train is not null"), **HELD_OUT)
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_split.classes(_records(spark, folder).where("train is not null"), **HELD_OUT).withColumn("overlap", F.round("overlap", 6))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,5 +217,5 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.detect(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p2_checked, p3_conversations, p3_documents, p3_report, p3_checked, p4_found, p4_labels, p4_validated, p5_found, p5_report, p6_found, p6_removal_spans, p7_mix, p7_shares, p7_checked, p7_overlap, p8_found, p8_restored, p8_roundtrip)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p2_checked, p3_conversations, p3_documents, p3_report, p3_checked, p4_found, p4_labels, p4_validated, p5_found, p5_report, p5_classes, p6_found, p6_removal_spans, p7_mix, p7_shares, p7_checked, p7_overlap, p8_found, p8_restored, p8_roundtrip)}
 ORACLES: dict[str, str] = oracle.ORACLES
