@@ -238,3 +238,18 @@ def test_schedules(spark):
         schedules.accumulation(65, 2, 4, 2)
     assert schedules.flops_per_token(100, 40, 2, 3, 4, 5) == 6 * 60 + 12 * 2 * 3 * 4 * 5
     assert text.PATTERN.startswith("'(?i:")
+
+
+def test_smoothing_of_long_series_with_nulls_is_the_recurrence(spark):
+    import random
+
+    from textmill.operators import schedules
+
+    rng = random.Random(5)
+    rows = [(s, k, None if rng.random() < 0.1 else rng.uniform(-5, 5), "x") for s, n in (("a", 1500), ("b", 3), (None, 900)) for k in range(n)]
+    got = {(r.s, r.k): r.ema for r in schedules.smoothed(spark.createDataFrame(rows, "s string, k int, v double, _note string"), ["s"], ["k"], "v").collect()}
+    mean = {}
+    for s, k, v, _ in rows:
+        mean[s] = mean.get(s, 0.0) * 0.9 + (v or 0.0) * 0.1
+        assert abs(got[s, k] - mean[s] / (1 - 0.9 ** (k + 1))) < 1e-9
+    assert len(got) == len(rows)

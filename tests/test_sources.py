@@ -76,3 +76,44 @@ def test_stream_goes_on_where_it_stopped(spark, shards, tmp_path):
     got = {r.word: r.n for r in streams.summed_histogram(spark, out).collect()}
     assert got == {r.word: r.n for r in bpe.word_histogram(corpus.read(spark, shards)).collect()} and got["doc"] == 31
     assert spark.read.parquet(out).select(F.max("batch")).first()[0] >= 3
+
+
+def test_landing_tries_again_and_skips_what_is_there(spark, tmp_path):
+    from textmill.sources import runs
+
+    folder = str(tmp_path / "land")
+
+    def fetch(name):
+        import os
+
+        mark = f"{folder}/{name}.mark"
+        if name == "never" or (name == "second" and not os.path.exists(mark)):
+            open(mark, "w").close()
+            raise OSError("not now")
+        return name.encode()
+
+    wanted = spark.createDataFrame([("first",), ("second",), ("never",), ("first",), (None,)], "name string")
+    once = {r.name: (r.ok, r.tries) for r in runs.land(wanted, folder, fetch, tries=3).collect()}
+    assert once == {"first": (True, 1), "second": (True, 2), "never": (False, 3)}
+    again = {r.name: (r.ok, r.tries) for r in runs.land(wanted, folder, fetch, tries=1).collect()}
+    assert again == {"first": (True, 0), "second": (True, 0), "never": (False, 1)}
+    assert open(f"{folder}/second").read() == "second" and not list((tmp_path / "land").glob("*.tmp"))
+
+
+def test_cursor_is_written_with_the_rows(spark, tmp_path):
+    from textmill.sources import runs
+
+    path = str(tmp_path / "steps")
+    assert runs.cursor(spark, path) is None
+    runs.advance(spark, path, spark.range(3), 0, 4, 0)
+    runs.advance(spark, path, spark.range(3), 1, 2, 1)
+    (tmp_path / "steps" / "at=2").mkdir()  # a step that broke off
+    assert tuple(runs.cursor(spark, path)) == (1, 1, 2, 1)
+
+
+def test_checkpoint_parts_by_rank(spark, tmp_path):
+    from textmill.sources import runs
+
+    path = str(tmp_path / "parts")
+    runs.save_parts(spark.createDataFrame([(5, r, r * 10) for r in range(4)] + [(6, 0, 99)], "step int, rank int, x int"), path)
+    assert [r.x for r in runs.load_parts(spark, path, 5, rank=2).collect()] == [20] and runs.load_parts(spark, path, 5).count() == 4
