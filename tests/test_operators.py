@@ -1,7 +1,9 @@
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,28 @@ def test_merges_equal_a_full_recount():
     assert bpe.merges([("a", 3)], 5) == []
 
 
+def test_merges_with_a_small_index_equal_a_full_recount():
+    rng = random.Random(5)
+    for held in (1, 3, 12):
+        words = [("".join(rng.choice("abé") for _ in range(rng.randint(1, 14))), rng.randint(1, 4)) for _ in range(25)] + [("a" * 9, 2), ("", 1)]
+        parts = []
+        for some in (words[:10], words[10:]):
+            data = [w.encode() for w, _ in some]
+            parts.append((np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), np.array([c for _, c in some])))
+        assert bpe._Merging(parts, held=held, step=7).run(60) == brute_merges(words, 60)
+
+
+def test_long_words_take_little_memory():
+    rng = random.Random(6)
+    words = [("".join(rng.choice("abcdefgh") for _ in range(2000)), 1) for _ in range(5)]
+    tracemalloc.start()
+    try:
+        assert len(bpe.merges(words, 1500)) == 1500
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_vocabulary_and_specials(spark):
     docs = spark.createDataFrame([("low lower lowest low",), (None,), ("",)], "text string")
     vocab = bpe.learn(docs, 260)
