@@ -46,6 +46,25 @@ def test_defects(spark):
     assert defects.detect(df.limit(0)).count() == 0
 
 
+def test_defects_are_learnt_from_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(defects, "seeded_sample", None)
+    df = spark.createDataFrame([(i, m) for i, m in talk()], "conv_id long, messages array<struct<role string, content string>>")
+    tables = [sorted(map(tuple, defects.detect(df.repartition(n)).select("conv_id", "labels", "posteriors").collect())) for n in (1, 5)]
+    assert tables[0] == tables[1]  # in whatever tasks the rows lie
+    got = {i: labels[0] for i, labels, _ in tables[0]}
+    assert got == {1000: "empty", 1001: "empty", 1002: "empty", 1003: "refusal", 1005: "copy", 1007: "language", 1009: "truncated", 1011: "truncated"}
+
+
+def test_lore_of_all_pairs_equals_one_tally(spark):
+    pairs = [(f"What does mill number {k} do?", f"The mill turns word{k % 7} slowly. It is, of course, old and of the village. I cannot help with that." * (1 + k % 3)) for k in range(400)]
+    pairs.append(("x " * 15_000 + "longer", "y " * 15_000 + "longest"))  # long texts count too
+    lore = defects.learn(spark.createDataFrame(pairs, "user string, answer string").repartition(7))
+    one = defects.Lore.learn(pairs)
+    assert {"word6", "x", "y"} <= lore.vocabulary and "399" not in lore.vocabulary
+    for name in ("vocabulary", "prefixes", "trigrams", "word_ends", "endings", "refusing"):
+        assert getattr(lore, name) == getattr(one, name), name
+
+
 def test_label_model_learns_which_votes_to_trust():
     rng = random.Random(2)
     counts, truth = {}, {}
