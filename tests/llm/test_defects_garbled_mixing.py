@@ -65,6 +65,77 @@ def test_lore_of_all_pairs_equals_one_tally(spark):
         assert getattr(lore, name) == getattr(one, name), name
 
 
+ODD = ["", " ", "\x01", "a\x01b. \x01", "snake_case and CamelCase__x.", "İstanbul'da ΣΑΣ ΌΣΟΣ. One two three four.", "five\u00a0six\u2028seven ²³ ½ ٣ x\u0301y z.", "𝔘𝔫𝔦 😀 𠀀𠀁 word\x01word_word. And so it, is here! Yes", "“It is the old mill.” And the river is, of course, of the village", "Ends on a beginn", "lone \ud800 surrogate is not a word."]
+
+
+def test_tallies_are_those_of_counting_one_by_one():
+    rng = random.Random(4)
+    words = "the of and is mill river der und nicht ist la les que el los y не на и o a cannot pass".split()
+    said = [" ".join(rng.choice(words) + rng.choice(["", "", ",", ".", "!\n", ".” "]) for _ in range(rng.randrange(120))) for _ in range(1500)]
+    pairs = [(rng.choice(ODD + said), x) for x in ODD + said]
+    want = {}
+
+    def count(kind, keys, bad=0, times=1):
+        for key in keys:
+            want.setdefault((kind, key), [0, 0])[1 - bad] += times
+
+    for p in pairs:
+        for text in p:
+            low, spoken = text.lower(), {}
+            met = defects.WORD.findall(low)
+            count("word", met[:-1] if text[-1:].isalnum() else met)
+            marks = [w for w in met if w in defects._MARKS]
+            for w in marks:
+                for k in defects._MARKS[w]:
+                    spoken[k] = spoken.get(k, 0) + 60 // len(defects._MARKS[w])
+            top = sorted(spoken.items(), key=lambda x: -x[1])
+            tongue = top[0][0] if top and top[0][1] >= 240 and (len(top) == 1 or 10 * top[1][1] <= 7 * top[0][1]) else None
+            assert defects.language(met, 4) == tongue == defects.languages([low], 4)[0]
+            if tongue:
+                count(f"spoken {tongue}", set(met))
+            for s in defects.SENTENCE_END.split(low):
+                w = defects.WORD.findall(s)
+                if s.rstrip("\"”’»)").endswith((".", "!", "?")) and len(w) >= 4:
+                    count("n", ["sentence"])
+                    count("end", defects._fragment_features(w, s.count(",")))
+                    k = 2 + defects.crc32(s.encode("utf-8", "replace")) % (len(w) - 2)
+                    count("end", defects._fragment_features(w[:k], min(s.count(","), 1)), 1)
+        if met:
+            count("declined", set(met), len(met) < 60 and bool(defects.REFUSALS.search(p[1])) and not defects.GOES_ON.search(p[1]))
+        count("n", ["pair"])
+    seen = defects.Tally()
+    seen.add(pairs[:700])
+    seen.add(pairs[700:])
+    got = {(kind, key): [bad, good] for kind, key, bad, good in seen.rows()}
+    assert got == want
+    assert list(defects.Tally().rows()) == []
+
+
+def test_looks_of_many_texts_are_those_of_each():
+    pairs = [(u, a) for u in ODD for a in ODD + GOOD]
+    lore = defects.Lore.learn(pairs + [(g, " ".join(GOOD)) for g in GOOD for _ in range(3)])
+    for p, (u, a) in zip(defects.Pair.of(pairs, lore), pairs, strict=True):
+        asked, said = (defects.WORD.findall(t.lower()) for t in (u, a))
+        assert (p.asked, p.said, p.letters, p.user, p.answer) == (asked, said, sum(map(len, said)), u, a)
+        assert (p.said_look.distinct, p.said_look.common, p.said_look.again) == (len(set(said)), len({*said} & {*asked}), sum(w in asked for w in said))
+        assert p.said_look.marking == defects.language(said) and (p.said_look.bits & defects.FIGURE > 0) == any(w.isdigit() for w in said)
+    assert list(defects.all_votes(pairs, lore)) == [defects.votes(u, a, lore) for u, a in pairs]
+    assert list(defects.all_votes([(None, None)], lore)) == [defects.votes("", "", lore)]
+
+
+def test_costly_steps_are_done_once(monkeypatch):
+    """Sentences don't become strings one by one; equal spoilt answers are judged once."""
+    pairs = [(f"What does the mill number {k} do for the people?", " ".join(GOOD)) for k in range(1500)]
+    judged = []
+    monkeypatch.setattr(defects, "_fragment_features", None)
+    lore = defects.Lore.learn(pairs)
+    assert any(k.startswith("f the ") for k in lore.endings)
+    monkeypatch.undo()
+    monkeypatch.setitem(defects.FUNCTIONS, "refusal", (lambda p: judged.append(p.answer) or 1, *defects.FUNCTIONS["refusal"][1:]))
+    codes = defects.spoilt_codes(pairs, lore, random.Random(1))["refusal"]
+    assert sum(codes.values()) == len(pairs) and len(judged) == len(set(judged)) <= 100
+
+
 def test_label_model_learns_which_votes_to_trust():
     rng = random.Random(2)
     counts, truth = {}, {}

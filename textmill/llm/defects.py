@@ -14,7 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property, lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -82,7 +82,7 @@ DANGLING = frozenset("the a an of in on at to for with by from and or but that w
 #: Letters beyond ASCII that belong to one of the languages.
 LETTERS = {"de": "äöüß", "fr": "èêëàâùûçœîï", "es": "ñ¿¡", "pt": "ãõ"}
 
-_MARKING = frozenset(_MARKS)
+_MARKING = {w: [(list(MARKERS).index(k), 6 // len(v)) for k in v] for w, v in _MARKS.items()}  # a word that marks up to three languages votes for each in sixths
 _CYRILLIC = re.compile("[Ѐ-ӿ]+")
 _LISTED = re.compile(r"(?:^|\n)[ \t]*(?:[-*•]|\d{1,3}[.)])(?=\s|$)")
 _STOPS = (".", "!", "?")
@@ -90,22 +90,108 @@ _SUM = re.compile(r"\d+ [-+*/] \d+ = ")
 _REMEMBERED = 200_000  # words whose properties a task keeps
 
 
+_TONGUES = list(MARKERS)
+_BETWEEN = "\x01"  # stands between texts that are split together
+#: Of each character of the basic plane: itself, or a blank if no word has it.
+_SPELT = np.array([c if chr(c).isalnum() or chr(c) == _BETWEEN else 32 for c in range(1 << 16)], "<u4")
+_UNSPELT = re.compile(r"[^\w\x01]|_")
+
+
+class _Numbers(dict):
+    """A number for each word met; the words of MARKERS have the first ones, behind that of _BETWEEN."""
+
+    def __init__(self):
+        self.words = [_BETWEEN, *_MARKING]  # by number
+        super().__init__(zip(self.words, range(len(self.words))))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.words.append(word)
+        return n
+
+
+_MARKED = np.zeros((len(_MARKING) + 1, len(MARKERS)))
+for _k, _votes in enumerate(_MARKING.values(), 1):
+    for _tongue, _sixths in _votes:
+        _MARKED[_k, _tongue] = _sixths
+
+
+def parts(items: list, size, most: int = 1000, characters: int = 2_000_000) -> Iterator[list]:
+    """Items one after the other, in lists of bounded length and of bounded sum of size(item), if no item alone is larger."""
+    some, sum_ = [], 0
+    for x in items:
+        if some and (len(some) == most or sum_ + size(x) > characters):
+            yield some
+            some, sum_ = [], 0
+        some.append(x)
+        sum_ += size(x)
+    if some:
+        yield some
+
+
+def pair_size(pair: tuple[str | None, str | None]) -> int:
+    return len(pair[0] or "") + len(pair[1] or "")
+
+
+def split_together(texts: list[str]) -> list[str]:
+    """The words of lower-case texts as WORD finds them, with _BETWEEN between two texts. All else becomes blanks, which is faster than the pattern."""
+    together = f" {_BETWEEN} ".join(texts)
+    if together.count(_BETWEEN) >= len(texts):
+        together = f" {_BETWEEN} ".join(t.replace(_BETWEEN, " ") for t in texts)
+    codes = np.frombuffer(together.encode("utf-32-le", "surrogatepass"), "<u4")
+    if codes.max(initial=0) >= len(_SPELT):
+        return _UNSPELT.sub(" ", together).split()
+    return _SPELT.take(codes).tobytes().decode("utf-32-le").split()
+
+
+def numbered(words: list[str], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words that split_together() gives, and how many each text has."""
+    all_ = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    between = np.flatnonzero(all_ == 0)
+    return all_[all_ > 0], np.diff(np.append(between - np.arange(len(between)), len(all_) - len(between)), prepend=0)
+
+
+def _speaking(words: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """By text the sixths of votes that marking words give to each language. words, of: numbers of words, and of their texts."""
+    at = np.flatnonzero(words < len(_MARKED))
+    words, of = words[at], of[at]
+    return np.stack([np.bincount(of, _MARKED[words, k], n) for k in range(len(MARKERS))], 1)
+
+
+def _own(words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words, of: those that each text has, once; and how often it has them."""
+    both = np.sort(of << 32 | words)
+    first = np.flatnonzero(np.diff(both, prepend=-1))
+    both, times = both[first], np.diff(first, append=len(both))
+    return both & 0xFFFFFFFF, both >> 32, times
+
+
+def _tongues(sixths: np.ndarray, least: int) -> np.ndarray:
+    """By text the place in MARKERS of the language that most marking words speak for; -1 if too few do or two are level."""
+    second, first = np.sort(sixths, 1)[:, -2:].T
+    return np.where((first >= 6 * least) & (10 * second <= 7 * first), sixths.argmax(1), -1)
+
+
+def languages(texts: list[str], least: int = 2) -> list[str | None]:
+    """The language of each text in lower case, see _tongues()."""
+    out = []
+    for some in parts(texts, len):
+        words, sizes = numbered(split_together(some), _Numbers())
+        out += _tongues(_speaking(words, np.repeat(np.arange(len(some)), sizes), len(some)), least).tolist()
+    return [_TONGUES[k] if k >= 0 else None for k in out]
+
+
 def language(words: list[str], least: int = 2) -> str | None:
     """The language that most marking words speak for; None if too few do or two are level."""
-    votes: dict[str, float] = {}
-    seen = _MARKING.intersection(words)
-    if seen:
-        for w in seen:
-            for k in _MARKS[w]:
-                votes[k] = votes.get(k, 0.0) + words.count(w) / len(_MARKS[w])
-    top = sorted(votes.items(), key=lambda x: -x[1])[:2]
-    if not top or top[0][1] < least or (len(top) > 1 and top[1][1] > 0.7 * top[0][1]):
-        return None
-    return top[0][0]
+    sixths = [0] * len(MARKERS)
+    for w, n in Counter(filter(_MARKING.__contains__, words)).items():
+        for k, part in _MARKING[w]:
+            sixths[k] += n * part
+    second, first = sorted(sixths)[-2:]
+    return _TONGUES[sixths.index(first)] if first >= 6 * least and 10 * second <= 7 * first else None
 
 
-_TONGUES = list(MARKERS)
-DENIAL, SELF, ASKING_COPY, ASKING_LANGUAGE = _BITS = 1, 2, 4, 8
+DENIAL, SELF, ASKING_COPY, ASKING_LANGUAGE, FIGURE = _BITS = 1, 2, 4, 8, 16
 #: Beginnings of words of which every request for a copy, or for a language, has one; a quick look before the patterns.
 COPY_CUES = tuple("repeat echo return word verbatim copy correct proofread quote wiederhol répèt répét repite repita повтори wörtlich mot palabra palavra слово".split())
 LANGUAGE_CUES = tuple(
@@ -115,7 +201,12 @@ LANGUAGE_CUES = tuple(
 
 
 def _flags(word: str) -> int:
-    return (DENIAL * (word in NEGATION or word.startswith(UNWILLING))) | (SELF * (word in PERSON)) | (ASKING_COPY * word.startswith(COPY_CUES)) | (ASKING_LANGUAGE * word.startswith(LANGUAGE_CUES))
+    return (DENIAL * (word in NEGATION or word.startswith(UNWILLING))) | (SELF * (word in PERSON)) | (ASKING_COPY * word.startswith(COPY_CUES)) | (ASKING_LANGUAGE * word.startswith(LANGUAGE_CUES)) | (FIGURE * word.isdigit())
+
+
+@lru_cache(_REMEMBERED)
+def _denies(word: str) -> bool:
+    return _flags(word) & DENIAL > 0
 
 
 def _trigrams(word: str) -> list[str]:
@@ -133,75 +224,133 @@ def _log_odds(counts: dict[str, tuple[int, int]], totals: tuple[int, int], add:
     return {f: math.log(b + add) - bad - math.log(g + add) + good for f, (b, g) in counts.items()}
 
 
-def _place(text: str, n: int) -> int:
-    """A place from 2 to n - 1, by a hash of the text: the same in whatever order texts come."""
-    return 2 + crc32(text.encode("utf-8", "replace")) % (n - 2)
+def _hash(text: str) -> int:
+    return crc32(text.encode("utf-8", "replace"))
+
+
+def _place(hashed, n):
+    """A place from 2 to n - 1, by a text's hash: the same in whatever order texts come."""
+    return 2 + hashed % (n - 2)
 
 
 class Tally:
-    """Counts of what a Lore is made from, over messages in any order. Each has a kind, a key, and how often it is met in what is broken off or declines (bad) and in the rest (good)."""
+    """Counts of what a Lore is made from, over messages in any order. Each has a kind, a key, and how often it is met in what is broken off or declines (bad) and in the rest (good).
+
+    Words are numbers here. Of each sentence a few of them are kept, of which table() makes the keys of _fragment_features().
+    """
 
     def __init__(self):
-        self.words: Counter = Counter()
-        self.spoken: dict[str, Counter] = {k: Counter() for k in MARKERS}
-        self.ends: tuple[Counter, Counter] = (Counter(), Counter())
-        self.declined: tuple[Counter, Counter] = (Counter(), Counter())
+        self.numbers = _Numbers()
+        self.counts = np.zeros((len(MARKERS) + 3, 0), np.int64)  # by number of a word: how often it is met; in how many texts of each language; in how many answers that decline, and that don't
+        self.denial = np.zeros(0, bool)  # by number
+        self.sentences: list[np.ndarray] = []  # first two words, last two words, words, commas, whether it is whole
         self.n = Counter()
-        self._known: dict[str, bool] = {}
 
-    def add(self, pairs: list[tuple[str, str]], step: int = 500) -> None:
-        for k in range(0, len(pairs), step):
-            self._add(pairs[k : k + step])
+    def add(self, pairs: list[tuple[str, str]]) -> None:
+        for some in parts(pairs, pair_size):
+            self._add(some)
+
+    def _grow(self) -> None:
+        new = self.numbers.words[len(self.denial) :]
+        if new:
+            self.denial = np.append(self.denial, [_flags(w) & DENIAL > 0 for w in new])
+            self.counts = np.pad(self.counts, ((0, 0), (0, len(new))))
 
     def _add(self, pairs: list[tuple[str, str]]) -> None:
-        words_met: list[str] = []
-        whole: list[str] = []
-        cuts: list[str] = []
+        texts = [text for p in pairs for text in p]
+        each = [SENTENCE_END.split(t.lower()) for t in texts]
+        flat = [s for some in each for s in some]
+        words, sizes = numbered(split_together(flat), self.numbers)
+        self._grow()
+        met, spoken, declined = self.counts[0], self.counts[1:-2], self.counts[-2:]
+        met += np.bincount(words, minlength=len(met))
+        past = np.cumsum(sizes)
+        of_text = np.add.reduceat(sizes, np.cumsum([0, *map(len, each[:-1])]))
+        # The last word may be the beginning of one where the text ends on it; in a large corpus such beginnings repeat.
+        last = np.array([t[-1:].isalnum() for t in texts]) & (of_text > 0)
+        met -= np.bincount(words[np.cumsum(of_text)[last] - 1], minlength=len(met))
+
+        of = np.repeat(np.arange(len(texts)), of_text)
+        tongue = _tongues(_speaking(words, of, len(texts)), 4)
+        own, of, _ = _own(words, of)
+        for k in range(len(MARKERS)):
+            spoken[k] += np.bincount(own[tongue[of] == k], minlength=len(met))
+        denies = np.bincount(of, self.denial[own], len(texts)) > 0  # every wording of REFUSALS has such a word: a quick look before the pattern
+        for k in np.flatnonzero(denies[1::2] & (of_text[1::2] < 60)).tolist():
+            denies[2 * k + 1] = REFUSALS.search(texts[2 * k + 1]) is not None and GOES_ON.search(texts[2 * k + 1]) is None
+        denies &= of_text < 60
+        answered = of % 2 == 1
+        for k, those in enumerate((denies[of], ~denies[of])):
+            declined[k] += np.bincount(own[answered & those], minlength=len(met))
+
+        whole = [k for k in np.flatnonzero(sizes >= 4).tolist() if flat[k].rstrip("\"”’»)").endswith(_STOPS)]
+        n, at = sizes[whole], (past - sizes)[whole]
+        commas = np.array([flat[k].count(",") for k in whole], np.int64)
+        kept = _place(np.array([_hash(flat[k]) for k in whole], np.int64), n)
+        for size, c, is_whole in ((n, commas, 1), (kept, np.minimum(commas, 1), 0)) if whole else ():
+            self.sentences.append(np.stack([words[at], words[at + 1], words[at + size - 2], words[at + size - 1], size, c, np.full(len(n), is_whole)]).astype(np.int32))
         self.n["pair"] += len(pairs)
-        for p in pairs:
-            for text in p:
-                low = text.lower()
-                words = WORD.findall(low)
-                # The last word may be the beginning of one where the text ends on it; in a large corpus such beginnings repeat.
-                words_met += words[:-1] if text[-1:].isalnum() else words
-                own = set(words)
-                tongue = language(words, 4)
-                if tongue:
-                    self.spoken[tongue].update(own)
-                for s in SENTENCE_END.split(low):
-                    if s.rstrip("\"”’»)")[-1:] in _STOPS:
-                        w = WORD.findall(s)
-                        if len(w) >= 4:
-                            commas = s.count(",")
-                            whole += _fragment_features(w, commas)
-                            cuts += _fragment_features(w[: _place(s, len(w))], min(commas, 1))
-                            self.n["sentence"] += 1
-            if words:
-                self.declined[0 if len(words) < 60 and self._denies(own) and REFUSALS.search(text) and not GOES_ON.search(text) else 1].update(own)
-        self.words.update(words_met)
-        self.ends[1].update(whole)
-        self.ends[0].update(cuts)
-
-    def _denies(self, words: set[str]) -> bool:
-        """Whether a word is met that every wording of REFUSALS has: a quick look before the pattern."""
-        known = self._known
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                if len(known) > _REMEMBERED:
-                    known.clear()
-                got = known[w] = _flags(w) & DENIAL > 0
-            if got:
-                return True
-        return False
-
-    def __len__(self) -> int:
-        return sum(map(len, (self.words, *self.spoken.values(), *self.ends, *self.declined)))
+        self.n["sentence"] += len(whole)
+
+    def full(self) -> bool:
+        """Whether it is time to hand on what is counted: up to some 100 MB are held until then."""
+        return len(self.numbers) > 200_000 or self.n["sentence"] > 400_000
+
+    def tables(self) -> Iterator[pa.Table]:
+        """kind, key, bad, good, in some pieces."""
+
+        def table(kind, keys, bad, good):
+            return pa.table({"kind": pa.repeat(kind, len(keys)), "key": keys, "bad": pa.array(bad, pa.int64()), "good": pa.array(good, pa.int64())})
+
+        if not self.n:
+            return
+        words = pa.array(self.numbers.words, pa.string())
+        met, *spoken, bad, good = self.counts
+        for kind, bad, good in (("word", 0 * met, met), *((f"spoken {k}", 0 * met, c) for k, c in zip(MARKERS, spoken)), ("declined", bad, good)):
+            some = np.flatnonzero(bad + good)
+            if len(some):
+                yield table(kind, words.take(pa.array(some)), bad[some], good[some])
+        for keys, bad, good in self._ends(words) if self.sentences else ():
+            yield table("end", keys, bad, good)
+        yield table("n", pa.array(list(self.n)), [0] * len(self.n), list(self.n.values()))
+
+    def _ends(self, words: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """The keys of _fragment_features(), and how often a beginning and a whole sentence has them."""
+        first, second, before, last, n, commas, whole = np.concatenate(self.sentences, 1).astype(np.int64)
+        count, most, short = len(words), int(commas.max()) + 1, np.minimum(n, 14)
+        heads, head = np.unique(first * count + second, return_inverse=True)
+        begun = pc.binary_join_element_wise(words.take(pa.array(heads // count)), words.take(pa.array(heads % count)), " ")
+
+        def text(part, of):
+            return pa.array(part).cast(pa.string()) if of is None else of.take(pa.array(part))
+
+        # By letter: its parts, how many values each has at most, and what it is a number of (None: a number itself).
+        for letter, *parts in (
+            ("n", (head, len(heads), begun), (short, 15, None)),
+            ("l", (last, count, words)),
+            ("b", (before, count, words), (last, count, words)),
+            ("f", (first, count, words), (last, count, words)),
+            ("h", (head, len(heads), begun), (last, count, words)),
+            ("c", (head, len(heads), begun), (commas, most, None), (short, 15, None)),
+            ("s", (n, int(n.max()) + 1, None)),
+        ):
+            key = whole
+            for part, size, _ in reversed(parts):
+                key, shift = (part * 2 + key, 2 * size) if key is whole else (part * shift + key, shift * size)
+            met, times = np.unique(key, return_counts=True)
+            key = met >> 1
+            new = np.diff(key, prepend=-1) > 0
+            at = np.cumsum(new) - 1
+            bad, good = (np.bincount(at, np.where(met & 1 == y, times, 0)).astype(np.int64) for y in (0, 1))
+            key, texts = key[new], []
+            for _, size, of in reversed(parts):
+                key, part = np.divmod(key, size)
+                texts.insert(0, text(part, of))
+            yield pc.binary_join_element_wise(letter, *texts, " "), bad, good
 
     def rows(self) -> Iterator[tuple[str, str, int, int]]:
-        for kind, (bad, good) in (("word", ((), self.words)), *((f"spoken {k}", ((), c)) for k, c in self.spoken.items()), ("end", self.ends), ("declined", self.declined), ("n", ((), self.n))):
-            for key in {*bad, *good}:
-                yield kind, key, bad[key] if bad else 0, good[key]
+        for t in self.tables():
+            yield from zip(*(c.to_pylist() for c in t.columns))
 
     def totals(self) -> dict[str, tuple[int, int]]:
         out: dict[str, tuple[int, int]] = {}
@@ -230,8 +379,8 @@ class Lore:
     word_ends: dict = field(default_factory=dict)
     endings: dict = field(default_factory=dict)
     refusing: dict = field(default_factory=dict)
-    _known: dict = field(default_factory=dict, repr=False)  # of each word met: row of _table
-    _table: np.ndarray = field(default_factory=lambda: np.empty((1024, len(MARKERS) + 2 + len(_BITS))), repr=False)  # by language, odds of a refusal, whether it counts, flags
+    _numbers: _Numbers = field(default_factory=_Numbers, repr=False)  # of each word met: row of _table
+    _table: np.ndarray = field(default_factory=lambda: np.empty((0, len(MARKERS) + 3 + len(_BITS))), repr=False)  # by language, odds of a refusal, whether it counts, flags, length
 
     @classmethod
     def learn(cls, pairs: list[tuple[str, str]]) -> "Lore":
@@ -253,7 +402,7 @@ class Lore:
         for w in vocabulary:
             if len(w) > 3:
                 shapes.setdefault(w[-3:], [0, 0])[1] += 1
-                shapes.setdefault(w[: _place(w, len(w))][-3:], [0, 0])[0] += 1
+                shapes.setdefault(w[: _place(_hash(w), len(w))][-3:], [0, 0])[0] += 1
         grams = {k: Counter() for k in MARKERS}
         for k, c in grams.items():
             for w, (_, n) in kinds.get(f"spoken {k}", {}).items():
@@ -266,63 +415,90 @@ class Lore:
         word_ends = _log_odds({f: x for f, x in shapes.items() if sum(x) >= 2}, both)
         return cls(vocabulary, prefixes, trigrams, tuple(math.log(0.5) - t for t in sums.values()), word_ends, _log_odds(kinds.get("end", {}), totals.get("end", (0, 0))), _log_odds(kinds.get("declined", {}), totals.get("declined", (0, 0))))
 
-    def looked_up(self, words: frozenset[str]) -> tuple[int, str | None, float]:
-        """Which of the fixed lists the words are in (bits, see _flags); the language whose trigrams they have, None if two are near each other or the words are few; and the log-odds of a refusal."""
-        known, table = self._known, self._table
-        if len(known) + len(words) > len(table):
-            if len(known) < _REMEMBERED:
-                self._table = table = np.resize(table, (2 * len(table) + len(words), table.shape[1]))
-            else:
-                known.clear()
-                self._table = table = np.empty((2 * _REMEMBERED + len(words), table.shape[1]))
-        rows = list(map(known.get, words))
-        if not rows:
-            return 0, None, 0.0
-        if None in rows:
-            for w in words:
-                if w not in known:
-                    use, bits = 1 < len(w) < 40 and bool(self.trigrams), _flags(w)
-                    tongues = np.array([self.trigrams.get(g, self.rare) for g in _trigrams(w)]).sum(0) / (len(w) - 1) if use else [0.0] * len(MARKERS)
-                    table[len(known)] = [*tongues, self.refusing.get(w, 0.0), use, *(bits & bit > 0 for bit in _BITS)]
-                    known[w] = len(known)
-            rows = list(map(known.get, words))
-        *score, odds, few, a, b, c, d = table.take(rows, 0).sum(0).tolist()
-        flags = (_BITS[0] if a else 0) | (_BITS[1] if b else 0) | (_BITS[2] if c else 0) | (_BITS[3] if d else 0)
-        first, second = sorted(score)[:-3:-1]
-        return flags, _TONGUES[score.index(first)] if few > 2 and first - second > 2 else None, odds
+    def _grow(self) -> None:
+        rows = []
+        for w in self._numbers.words[len(self._table) :]:
+            use, bits = 1 < len(w) < 40 and bool(self.trigrams), _flags(w)
+            tongues = np.array([self.trigrams.get(g, self.rare) for g in _trigrams(w)]).sum(0) / (len(w) - 1) if use else [0.0] * len(MARKERS)
+            rows.append([*tongues, self.refusing.get(w, 0.0), use, *(bits & bit > 0 for bit in _BITS), len(w)])
+        if rows:  # so rounded that sums don't depend on the order of words
+            self._table = np.concatenate([self._table, np.rint(np.array(rows, float) * 2**24) / 2**24])
+
+    def looked_up(self, texts: list[str]) -> list["Look"]:
+        """What the words of lower-case texts show; the texts are questions and their answers in turn."""
+        if len(self._numbers) > _REMEMBERED:
+            self._numbers, self._table = _Numbers(), self._table[:0]
+        n, words = len(texts), split_together(texts)
+        numbers, sizes = numbered(words, self._numbers)
+        self._grow()
+        of = np.repeat(np.arange(n), sizes)
+        own, of_own, times = _own(numbers, of)
+        sums = np.zeros((n, self._table.shape[1]))
+        if len(own):
+            new = np.diff(of_own, prepend=-1) > 0
+            sums[of_own[new]] = np.add.reduceat(self._table.take(own, 0), np.flatnonzero(new), 0)
+        score, odds, few, bits = sums[:, : len(MARKERS)], sums[:, len(MARKERS)], sums[:, len(MARKERS) + 1], sums[:, len(MARKERS) + 2 : -1]
+        second, first = np.sort(score, 1)[:, -2:].T
+        trigrams = np.where((few > 2) & (first - second > 2), score.argmax(1), -1).tolist()
+        marking = _tongues(_speaking(numbers, of, n), 2).tolist()
+        letters = np.bincount(of, self._table[numbers, -1], n).astype(int).tolist()
+        asked, said = ((of_own >> 1 << 32 | own)[of_own & 1 == k] for k in (0, 1))  # in rising order
+        both = asked[np.searchsorted(asked, said).clip(max=len(asked) - 1)] == said if len(asked) else np.zeros(len(said), bool)
+        among = np.zeros((n, 3), np.int64)
+        among[:, 0] = np.bincount(of_own, minlength=n)
+        among[1::2, 1] = np.bincount(said[both] >> 32, minlength=n // 2)
+        among[1::2, 2] = np.bincount(said[both] >> 32, times[of_own & 1 == 1][both], n // 2)
+        ends = (np.cumsum(sizes) + np.arange(n)).tolist()
+        tongue = [*_TONGUES, None]
+        return [Look(words[e - k : e], f, tongue[a], tongue[b], o, m, *x) for e, k, f, a, b, o, m, x in zip(ends, sizes.tolist(), ((bits > 0) @ np.array(_BITS)).tolist(), trigrams, marking, odds.tolist(), letters, among.tolist())]
 
     def breaks_off(self, words: list[str], commas: int) -> float:
         """Log-odds that the words are a beginning and not a whole sentence."""
         return sum(self.endings.get(f, 0.0) for f in _fragment_features(words, commas)) if len(words) >= 2 else 0.0
 
 
+@dataclass(slots=True)
+class Look:
+    """A text's words, which of the fixed lists they are in (bits, see _flags), the language whose trigrams they have (None if two are near each other or the words are few), that of which most are marking words, the log-odds of a refusal, and how many letters they have.
+
+    distinct: how many words differ; of an answer, common: how many of these the question has too, and again: how many words, repeated ones counted each time.
+    """
+
+    words: list[str]
+    bits: int
+    trigrams: str | None
+    marking: str | None
+    odds: float
+    letters: int
+    distinct: int
+    common: int
+    again: int
+
+
 class Pair:
     """What the functions look at; costly features are made when first asked for."""
 
-    def __init__(self, user: str | None, answer: str | None, lore: Lore):
-        self.user, self.answer, self.lore = user or "", answer or "", lore
-        self.low = self.answer.lower()
-        self.said = WORD.findall(self.low)
-        self.said_set = frozenset(self.said)
-        self.letters = sum(map(len, self.said))
+    def __init__(self, user: str, answer: str, lore: Lore, asked_look: Look, said_look: Look):
+        self.user, self.answer, self.lore, self.asked_look, self.said_look = user, answer, lore, asked_look, said_look
+        self.asked, self.said = asked_look.words, said_look.words
+        self.letters = said_look.letters
         self.spelled = self.letters < 1.5 * len(self.said)  # letter by letter
 
+    @staticmethod
+    def of(pairs: list[tuple[str | None, str | None]], lore: Lore) -> Iterator["Pair"]:
+        for some in parts(pairs, pair_size):
+            some = [(u or "", a or "") for u, a in some]
+            looks = lore.looked_up([t.lower() for p in some for t in p])
+            yield from (Pair(u, a, lore, *look) for (u, a), look in zip(some, zip(looks[::2], looks[1::2])))
+
     @cached_property
-    def asked(self) -> list[str]:
-        return WORD.findall(self.user.lower())
+    def low(self) -> str:
+        return self.answer.lower()
 
     @cached_property
     def asked_set(self) -> frozenset[str]:
         return frozenset(self.asked)
 
-    @cached_property
-    def asked_look(self) -> tuple[int, str | None, float]:
-        return self.lore.looked_up(self.asked_set)
-
-    @cached_property
-    def said_look(self) -> tuple[int, str | None, float]:
-        return self.lore.looked_up(self.said_set)
-
     # copies
 
     @cached_property
@@ -334,7 +510,7 @@ class Pair:
     @cached_property
     def shared(self) -> float:
         """The part of the larger side's words that both have; 0 where the sets already show that it is low."""
-        if len(self.asked) < 3 or len(self.said) < 3 or 3 * len(self.said_set & self.asked_set) < len(self.asked_set):
+        if len(self.asked) < 3 or len(self.said) < 3 or 3 * self.said_look.common < self.asked_look.distinct:
             return 0.0
         bag = Counter(self.asked)
         return max(sum((bag & Counter(f)).values()) / max(len(f), len(self.asked)) for f in self.forms)
@@ -347,12 +523,12 @@ class Pair:
 
     @cached_property
     def unwilling(self) -> bool:
-        return self.said_look[0] & DENIAL > 0 and not self.spelled
+        return self.said_look.bits & DENIAL > 0 and not self.spelled
 
     @cached_property
     def denial(self) -> list[bool]:
         """By sentence: whether it has a word of denial."""
-        return [not NEGATION.isdisjoint(w) or any(x.startswith(UNWILLING) for x in w) for _, w in self.sentences]
+        return [any(map(_denies, w)) for _, w in self.sentences]
 
     @cached_property
     def declining(self) -> list[bool]:
@@ -362,7 +538,7 @@ class Pair:
     @cached_property
     def personal(self) -> list[bool]:
         """By sentence: whether a speaker denies something of themselves, in few words."""
-        return [d and len(w) <= 25 and not PERSON.isdisjoint(w) and GOES_ON.search(s) is None for (s, w), d in zip(self.sentences, self.denial)] if self.unwilling and self.said_look[0] & SELF else []
+        return [d and len(w) <= 25 and not PERSON.isdisjoint(w) and GOES_ON.search(s) is None for (s, w), d in zip(self.sentences, self.denial)] if self.unwilling and self.said_look.bits & SELF else []
 
     @cached_property
     def other_words(self) -> int:
@@ -374,11 +550,11 @@ class Pair:
 
     @cached_property
     def requested(self) -> bool:
-        return self.asked_look[0] & ASKING_LANGUAGE > 0 and ASKS_LANGUAGE.search(self.user) is not None
+        return self.asked_look.bits & ASKING_LANGUAGE > 0 and ASKS_LANGUAGE.search(self.user) is not None
 
     @cached_property
     def copy_asked(self) -> bool:
-        return self.asked_look[0] & ASKING_COPY > 0 and ASKS_COPY.search(self.user) is not None
+        return self.asked_look.bits & ASKING_COPY > 0 and ASKS_COPY.search(self.user) is not None
 
     def differ(self, a, b) -> int:
         """The vote of a function that finds a for the question and b for the answer: a difference that was asked for is none."""
@@ -405,7 +581,7 @@ class Pair:
     @cached_property
     def item(self) -> tuple[list[str], int] | None:
         """Words of the last item, if the answer ends in a list, and of its shortest fellow (1 without fellows)."""
-        marks = list(_LISTED.finditer(self.text))
+        marks = list(_LISTED.finditer(self.text) if "\n" in self.text else filter(None, [_LISTED.match(self.text)]))
         if not marks:
             return None
         last, words = self.text[marks[-1].end() :].strip(), WORD.findall(self.text[marks[-1].end() :].lower())
@@ -483,7 +659,7 @@ def nothing_new(p: Pair) -> int:
     """Hardly a word that the question lacks."""
     if len(p.said) < 3:
         return 0
-    fresh = min(sum(w not in p.asked_set for w in f) for f in (p.forms if p.shared else [p.said]))
+    fresh = min(len(f) - sum(map(p.asked_set.__contains__, f)) for f in p.forms) if p.shared else len(p.said) - p.said_look.again
     return 0 if p.copy_asked else _vote(fresh <= 0.1 * len(p.said) and len(p.said) > 0.4 * len(p.asked), fresh > 0.3 * len(p.said))
 
 
@@ -512,25 +688,25 @@ def denies(p: Pair) -> int:
 
 def brief_denial(p: Pair) -> int:
     """Short, without figures, and with a word of denial."""
-    return _vote(3 < len(p.said) <= 50 and p.unwilling and not any(w.isdigit() for w in p.said), len(p.said) > 70 or any(w.isdigit() for w in p.said))
+    return _vote(3 < len(p.said) <= 50 and p.unwilling and not p.said_look.bits & FIGURE, len(p.said) > 70 or p.said_look.bits & FIGURE > 0)
 
 
 def worded_like_refusals(p: Pair) -> int:
     """The words are those of refusals in the sample, which are under 60 words."""
     if len(p.said) < 4 or p.spelled:
         return 0
-    return _vote(p.said_look[2] > 6 and len(p.said) < 60, p.said_look[2] < -6 or len(p.said) >= 60)
+    return _vote(p.said_look.odds > 6 and len(p.said) < 60, p.said_look.odds < -6 or len(p.said) >= 60)
 
 
 # Another language.
 
 
 def marking_words(p: Pair) -> int:
-    return p.differ(language(p.asked), language(p.said)) if len(p.said) > 3 else 0
+    return p.differ(p.asked_look.marking, p.said_look.marking) if len(p.said) > 3 else 0
 
 
 def character_trigrams(p: Pair) -> int:
-    return p.differ(p.asked_look[1], p.said_look[1]) if len(p.said) > 3 else 0
+    return p.differ(p.asked_look.trigrams, p.said_look.trigrams) if len(p.said) > 3 else 0
 
 
 def script(p: Pair) -> int:
@@ -540,7 +716,7 @@ def script(p: Pair) -> int:
         part = 0.0 if text.isascii() else sum(map(len, _CYRILLIC.findall(text))) / max(letters, 1)
         return None if letters < 10 else "c" if part > 0.6 else "l" if part < 0.2 else None
 
-    a, b = kind(p.user, sum(map(len, p.asked))), kind(p.answer, p.letters)
+    a, b = kind(p.user, p.asked_look.letters), kind(p.answer, p.letters)
     return 0 if a == b == "l" else p.differ(a, b)
 
 
@@ -552,11 +728,12 @@ def special_letters(p: Pair) -> int:
             return None
         if text.isascii():
             return "none"
-        n = {k: sum(map(text.lower().count, c)) for k, c in LETTERS.items()}
+        low = text.lower()
+        n = {k: sum(map(low.count, c)) for k, c in LETTERS.items()}
         top = max(n, key=n.get)
         return top if n[top] > 0.01 * letters and 2 * sorted(n.values())[-2] < n[top] else None
 
-    return p.differ(kind(p.user, sum(map(len, p.asked))), kind(p.answer, p.letters))
+    return p.differ(kind(p.user, p.asked_look.letters), kind(p.answer, p.letters))
 
 
 def language_requested(p: Pair) -> int:
@@ -637,10 +814,14 @@ FUNCTIONS = {
 N_VOTES = {d: len(f) for d, f in FUNCTIONS.items()}
 
 
+def all_votes(pairs: list[tuple[str | None, str | None]], lore: Lore) -> Iterator[dict[str, tuple[int, ...]]]:
+    """The votes of all labelling functions on each pair, by defect."""
+    return ({d: tuple([f(p) for f in functions]) for d, functions in FUNCTIONS.items()} for p in Pair.of(pairs, lore))
+
+
 def votes(user: str | None, answer: str | None, lore: Lore) -> dict[str, tuple[int, ...]]:
     """The votes of all labelling functions on one pair, by defect."""
-    p = Pair(user, answer, lore)
-    return {d: tuple(f(p) for f in functions) for d, functions in FUNCTIONS.items()}
+    return next(all_votes([(user, answer)], lore))
 
 
 @dataclass
@@ -677,6 +858,7 @@ class LabelModel:
         return 1 / (1 + math.exp(min(700, a - b)))
 
 
+@cache
 def encode(v: tuple[int, ...]) -> int:
     out = 0
     for x in v:
@@ -717,20 +899,18 @@ DECLINING = (
 def learn(pairs: DataFrame) -> Lore:
     """The lore of all pairs: each task tallies its own, Spark adds up, and the driver gets the keys that occur at least Tally.least() times."""
 
+    def rows(seen):
+        for table in seen.tables():
+            yield from table.to_batches(max_chunksize=20_000)
+
     def run(batches):
         seen = Tally()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*seen.rows()), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "key", "bad", "good"])
-            return (out.slice(k, 20_000) for k in range(0, len(out), 20_000))
-
         for batch in batches:
             seen.add(list(zip(batch.column("user").to_pylist(), batch.column("answer").to_pylist())))
-            if len(seen) > 400_000:
-                yield from rows()
+            if seen.full():
+                yield from rows(seen)
                 seen = Tally()
-        if seen.n:
-            yield from rows()
+        yield from rows(seen)
 
     tally = spread(pairs.select("user", "answer")).mapInArrow(run, "kind string, key string, bad long, good long")
     tally = cut(tally.groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
@@ -748,9 +928,12 @@ def spoil(pairs: list[tuple[str, str]], defect: str, rng: random.Random) -> list
     """Pairs with the defect, made from good ones."""
     out = []
     tongues: dict[str | None, list[str]] = {}
-    for u, a in pairs:
-        tongues.setdefault(language(WORD.findall(a.lower()), 4), []).append(a)
-    for u, a in pairs:
+    asked: list[str | None] = []
+    if defect == "language":
+        asked = languages([u.lower() for u, _ in pairs], 4)
+        for (_, a), k in zip(pairs, languages([a.lower() for _, a in pairs], 4)):
+            tongues.setdefault(k, []).append(a)
+    for i, (u, a) in enumerate(pairs):
         if defect == "empty":
             out.append((u, rng.choice(["", "N/A", "(" + rng.choice(["none", "no answer", "empty"]) + ")", "".join(rng.choice(" .-_*/~\n") for _ in range(rng.randrange(1, 9)))])))
         elif defect == "copy":
@@ -760,8 +943,7 @@ def spoil(pairs: list[tuple[str, str]], defect: str, rng: random.Random) -> list
         elif defect == "refusal":
             out.append((u, " ".join(rng.sample(DECLINING, rng.choice((1, 1, 2))))))
         elif defect == "language":
-            mine = language(WORD.findall(u.lower()), 4)
-            others = [k for k in tongues if k and mine and k != mine]
+            others = [k for k in tongues if k and asked[i] and k != asked[i]]
             if others and not ASKS_LANGUAGE.search(u):
                 out.append((u, rng.choice(tongues[rng.choice(others)])))
         elif len(a) > 60:
@@ -771,9 +953,19 @@ def spoil(pairs: list[tuple[str, str]], defect: str, rng: random.Random) -> list
     return out
 
 
+#: Defects whose functions look at the answer only.
+OF_ANSWER = ("empty", "refusal", "truncated")
+
+
 def spoilt_codes(pairs: list[tuple[str, str]], lore: Lore, rng: random.Random) -> dict[str, Counter]:
     """For each defect how often its functions vote in which way on good pairs that were given it."""
-    return {d: Counter(encode(tuple(f(p) for f in FUNCTIONS[d])) for p in (Pair(u, a, lore) for u, a in spoil(pairs, d, rng))) for d in DEFECTS}
+    out = {}
+    for d in DEFECTS:
+        spoilt = Counter(("", a) if d in OF_ANSWER else (u, a) for u, a in spoil(pairs, d, rng))  # many answers that are equal are judged once
+        out[d] = Counter()
+        for p, n in zip(Pair.of(list(spoilt), lore), spoilt.values()):
+            out[d][encode(tuple([f(p) for f in FUNCTIONS[d]]))] += n
+    return out
 
 
 def cutoffs(models: dict[str, LabelModel], good: dict[str, dict[int, int]], spoilt: dict[str, dict[int, int]], grid: tuple[float, ...] = (0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95)) -> dict[str, tuple[float, float, float]]:
@@ -830,8 +1022,8 @@ def _fitted(talk: DataFrame, id_col: str, messages_col: str, sample: int | None,
         known = shared.value
         for batch in batches:
             codes: dict[str, list[int]] = {d: [] for d in DEFECTS}
-            for u, a in zip(batch.column("user").to_pylist(), batch.column("answer").to_pylist()):
-                for d, v in votes(u, a, known).items():
+            for by_defect in all_votes(list(zip(batch.column("user").to_pylist(), batch.column("answer").to_pylist())), known):
+                for d, v in by_defect.items():
                     codes[d].append(encode(v))
             held = batch.column("held")
             texts = [pc.if_else(held, batch.column(c), pa.scalar(None, batch.column(c).type)) for c in ("user", "answer")]
@@ -847,9 +1039,8 @@ def _fitted(talk: DataFrame, id_col: str, messages_col: str, sample: int | None,
             good = good.where(_lookup(d, tables[d]) < 0.5)
         as_they_are, spoilt = _code_counts(good), _spoilt(good, shared, max(1, voted.count() // 5000), seed)
     else:
-        good = [(u, a) for u, a in held_out if (v := votes(u, a, lore)) and all(models[d].posterior(v[d]) < 0.5 for d in DEFECTS)]
-        each = [votes(u, a, lore) for u, a in good]
-        as_they_are, spoilt = {d: Counter(encode(v[d]) for v in each) for d in DEFECTS}, spoilt_codes(good, lore, random.Random(seed))
+        good = [(p, v) for p, v in zip(held_out, all_votes(held_out, lore)) if all(models[d].posterior(v[d]) < 0.5 for d in DEFECTS)]
+        as_they_are, spoilt = {d: Counter(encode(v[d]) for _, v in good) for d in DEFECTS}, spoilt_codes([p for p, _ in good], lore, random.Random(seed))
     return voted, models, tables, cutoffs(models, as_they_are, spoilt)
 
 
