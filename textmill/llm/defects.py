@@ -899,7 +899,7 @@ DECLINING = (
 def learn(pairs: DataFrame) -> Lore:
     """The lore of all pairs: each task tallies its own, Spark adds up, and the driver gets the keys that occur at least Tally.least() times."""
 
-    def rows(seen):
+    def batches_of(seen):
         for table in seen.tables():
             yield from table.to_batches(max_chunksize=20_000)
 
@@ -908,9 +908,9 @@ def learn(pairs: DataFrame) -> Lore:
         for batch in batches:
             seen.add(list(zip(batch.column("user").to_pylist(), batch.column("answer").to_pylist())))
             if seen.full():
-                yield from rows(seen)
+                yield from batches_of(seen)
                 seen = Tally()
-        yield from rows(seen)
+        yield from batches_of(seen)
 
     tally = spread(pairs.select("user", "answer")).mapInArrow(run, "kind string, key string, bad long, good long")
     tally = cut(tally.groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
